@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import gc
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +35,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each application, as they may not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent.parent
+    at = tempfile.mkdtemp(prefix="loomframe-")  # the driver serves it from here as long as it lives
+    atexit.register(shutil.rmtree, at, True)
+    archive = f"{at}/loomframe.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for p in sorted(root.rglob("*.py")):
+            out.write(p, str(p.relative_to(root.parent)))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 _own: list[str] = []
 
 
@@ -128,3 +150,33 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
 def _state(links: DataFrame) -> tuple:
     r = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     return r[0], r[1]
+
+
+def banded_components(members: DataFrame, verify, name: str) -> DataFrame:
+    """(node, component) for the nodes that are linked through the keys they share.
+
+    members: distinct rows (key, node), already materialized. verify: of rows (a, b), a > b, gives a materialized table
+    of those that are links. The nodes of a key are compared with the least of them: one pair for each member, never all
+    pairs. What is linked then, through whatever keys, is one component. Only nodes of a key that are still in
+    different components are compared pair by pair, all of them; so no link between two components is left out, and a
+    large group of copies costs a pair for each member and key.
+    """
+    keys = members.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    keys = materialize(keys, f"{name}-keys")
+    busy = members.join(keys.where("n > 2").select("key", "b"), "key")
+    pairs = materialize(keys.where("n = 2").select("a", "b").unionByName(busy.select(F.col("node").alias("a"), "b").where("a <> b")).distinct(), f"{name}-pairs")
+    links = verify(pairs)
+    groups = materialize(connected_components(links, name), name)
+    named = busy.join(groups.withColumnRenamed("component", "c"), "node", "left").select("key", "b", "node", F.coalesce("c", "node").alias("c"))
+    named = materialize(named, f"{name}-named")
+    split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by("c", "node").alias("main")).where("lo <> hi")
+    apart = named.where("node <> b").join(split.select("key", "main"), "key")
+    strays = apart.where("c <> main").select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
+    rest = strays.join(apart.select("key", F.col("node").alias("y"), F.col("c").alias("cy")), "key").where("cx <> cy")
+    rest = materialize(rest.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), f"{name}-rest")
+    if not rest.isEmpty():
+        groups = materialize(connected_components(links.unionByName(verify(rest)), name), name)
+    for table in (keys, pairs, named, rest):
+        discard(table)
+    release(members.sparkSession)
+    return groups

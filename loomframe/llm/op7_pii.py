@@ -9,7 +9,7 @@ from hashlib import sha256
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from loomframe.llm.common import documents
+from loomframe.llm.common import documents, ship
 
 #: Kinds in the order in which spans that start together are listed; the first four are the base.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "routing")
@@ -156,6 +156,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document; a null text counts as empty. One pass in Arrow batches, no shuffle."""
+    ship(spark)
     return (
         documents(spark, sf_dir)
         .select("doc_id", "text")

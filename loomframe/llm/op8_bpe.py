@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import documents
+from loomframe.llm.common import documents, ship
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Encodings of pre-tokens that a Python worker keeps; when there are more it starts anew, so that memory is bounded.
@@ -191,6 +191,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
                 arrays, names = [*arrays, pa.array(listed, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
+    ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(work, schema)
