@@ -5,6 +5,712 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomframe.functions import expr as X
+from loomframe.operators import assoc, encode, hist, mimic, profile, quality, relational
+from loomframe.operators.hist import ValueCounts, fill
+from loomframe.sources import io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def r(c, n: int = 4):
+    return F.round(F.col(c) if isinstance(c, str) else c, n)
+
+
+# --- sources -------------------------------------------------------------------------------------------------------
+
+
+@query("select r_regionkey, r_name from region union all select r_regionkey, r_name from region union all select r_regionkey, r_name from region")
+def scan_multi_file(spark, sf):
+    return io.read(spark, [f"{sf}/region.parquet"] * 3)
+
+
+@query("select chunk, count(*) as n from (select cast(floor((row_number() over (order by o_orderkey) - 1) / 4000) as bigint) as chunk from orders) group by 1")
+def chunk_ids(spark, sf):
+    rows = relational.numbered_rows(t(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"])
+    return rows.select(F.floor(F.col("__row_id") / 4000).cast("long").alias("chunk")).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select c_mktsegment, count(*) as n from customer group by 1")
+def sql_source(spark, sf):
+    t(spark, sf, "customer").createOrReplaceTempView("_customer")
+    return io.read(spark, "select c_mktsegment, count(*) as n from _customer group by 1", "sql")
+
+
+# --- filter, project, apply ----------------------------------------------------------------------------------------
+
+
+@query("select l_orderkey, l_linenumber, l_quantity from lineitem where l_discount > 0.05 and l_quantity < l_extendedprice and l_quantity > 40")
+def filter_query_chain(spark, sf):
+    return relational.select(t(spark, sf, "lineitem"), ["l_discount > 0.05", "l_quantity < l_extendedprice and l_quantity > 40"], ["l_orderkey", "l_linenumber", "l_quantity"])
+
+
+@query("select l_orderkey, l_returnflag from lineitem where l_returnflag in ('A', 'R') and l_shipdate is not null and not (l_quantity <= 45) and l_tax between 0.02 and 0.04")
+def filter_project(spark, sf):
+    return relational.select(t(spark, sf, "lineitem"), ["l_returnflag in ['A', 'R']", F.col("l_shipdate").isNotNull(), "not (l_quantity <= 45)", "0.02 <= l_tax <= 0.04"], ["l_orderkey", "l_returnflag"])
+
+
+@query("select o_orderkey, case when o_orderkey % 3 = 0 then null else o_orderstatus end as s from orders where case when o_orderkey % 3 = 0 then null else o_orderstatus end is distinct from 'F'")
+def filter_missing_neq(spark, sf):
+    rows = t(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("s"))
+    return relational.select(rows, ["s != 'F'"])
+
+
+@query("select o_orderkey, o_totalprice from orders where false")
+def filter_failure_policy(spark, sf):
+    return relational.select(t(spark, sf, "orders"), ["no_such_column > 1"], ["o_orderkey", "o_totalprice"], continue_if_failure=True)
+
+
+@query("select l_orderkey, l_linenumber, l_quantity * l_quantity as sq, round(sqrt(abs(l_discount - 0.05)), 6) as root, l_quantity + 1 as inc, l_extendedprice * 1.60934::double as km from lineitem")
+def apply_scalar(spark, sf):
+    df = t(spark, sf, "lineitem").withColumn("d", F.col("l_discount") - 0.05)
+    for func, on, out in (("square", "l_quantity", "sq"), ("sqrt_abs", "d", "root"), ("increment", "l_quantity", "inc"), ("miles_to_km", "l_extendedprice", "km")):
+        df = relational.apply(df, func, out, on)
+    return df.select("l_orderkey", "l_linenumber", "sq", r("root", 6).alias("root"), "inc", "km")
+
+
+@query("select o_orderkey, o_totalprice * 2 + o_custkey as v from orders")
+def apply_row(spark, sf):
+    df = relational.apply_rows(t(spark, sf, "orders"), lambda p: p.o_totalprice * 2 + p.o_custkey, "v", ["o_totalprice", "o_custkey"])
+    return df.select("o_orderkey", "v")
+
+
+@query("select o_orderkey, o_totalprice / 1000 as v from orders")
+def apply_arrow(spark, sf):
+    import numpy as np
+
+    df = relational.apply(t(spark, sf, "orders"), lambda s: np.asarray(s.to_numpy()) / 1000, "v", "o_totalprice")
+    return df.select("o_orderkey", "v")
+
+
+@query("select c_custkey, round(c_acctbal - (select avg(c_acctbal) from customer), 4) as off from customer")
+def apply_entire(spark, sf):
+    def off(df):
+        return df.join(F.broadcast(df.agg(F.avg("c_acctbal").alias("_m")))).withColumn("off", F.col("c_acctbal") - F.col("_m"))
+
+    return relational.apply(t(spark, sf, "customer"), off, entire=True).select("c_custkey", r("off").alias("off"))
+
+
+@query("select n_nationkey, n_name, 'x' as tag, cast(7 as integer) as k from nation")
+def add_const_column(spark, sf):
+    return relational.add_constants(t(spark, sf, "nation"), {"tag": "x", "k": 7}).select("n_nationkey", "n_name", "tag", "k")
+
+
+@query("select o_orderstatus, count(*) as n, round(max(o_totalprice), 2) as top from orders group by 1")
+def grouped_apply_frame(spark, sf):
+    import pandas as pd
+
+    def one(p):
+        return pd.DataFrame({"o_orderstatus": [p.o_orderstatus.iloc[0]], "n": [len(p)], "top": [round(p.o_totalprice.max(), 2)]})
+
+    return relational.grouped_apply(t(spark, sf, "orders").select("o_orderstatus", "o_totalprice"), ["o_orderstatus"], one, "o_orderstatus string, n long, top double")
+
+
+@query("select o_orderkey, max(o_totalprice) over (partition by o_custkey) as m from orders")
+def grouped_apply_broadcast(spark, sf):
+    return relational.grouped_column(t(spark, sf, "orders"), ["o_custkey"], F.max("o_totalprice"), "m").select("o_orderkey", "m")
+
+
+# --- joins and sets ------------------------------------------------------------------------------------------------
+
+
+def _merge(how):
+    def run(spark, sf):
+        a = t(spark, sf, "customer").select(F.col("c_custkey").alias("key"), "c_name").where("c_custkey % 2 = 0")
+        b = t(spark, sf, "orders").select(F.col("o_custkey").alias("key"), "o_orderkey").where("o_custkey % 3 = 0")
+        return relational.merge(a, b, ["key"], how)
+
+    run.__name__ = f"merge_{how}"
+    return run
+
+
+for _how in ("inner", "left", "right", "outer"):
+    query(
+        f"select coalesce(a.key, b.key) as key, c_name, o_orderkey from (select c_custkey as key, c_name from customer where c_custkey % 2 = 0) a {'full' if _how == 'outer' else _how} join "
+        "(select o_custkey as key, o_orderkey from orders where o_custkey % 3 = 0) b on a.key = b.key"
+    )(_merge(_how))
+
+
+@query("select a.n_nationkey as n_nationkey, a.n_name as n_name_x, a.n_regionkey as n_regionkey_x, upper(b.n_name) as n_name_y, b.n_regionkey as n_regionkey_y from nation a join nation b using (n_nationkey)")
+def merge_dup_cols_suffix(spark, sf):
+    n = t(spark, sf, "nation")
+    return relational.merge(n, n.withColumn("n_name", F.upper("n_name")), ["n_nationkey"], drop_duplicate_columns=False).select("n_nationkey", "n_name_x", "n_regionkey_x", "n_name_y", "n_regionkey_y")
+
+
+@query("select n_nationkey, n_name, n_regionkey from nation")
+def merge_column_subset(spark, sf):
+    n = t(spark, sf, "nation")
+    return relational.merge(n, n.withColumn("n_name", F.lit("right")), ["n_nationkey"], columns1=["n_nationkey", "n_name"], columns2=["n_nationkey", "n_name", "n_regionkey"])
+
+
+@query("with a as (select case when n_nationkey < 5 then null else n_nationkey end as k, n_nationkey as x from nation), b as (select case when n_nationkey < 3 then null else n_nationkey end as k, n_nationkey as y from nation) select a.k as k, x, y from a join b on a.k is not distinct from b.k")
+def merge_null_keys(spark, sf):
+    n = t(spark, sf, "nation")
+    a = n.select(F.when(F.col("n_nationkey") >= 5, F.col("n_nationkey")).alias("k"), F.col("n_nationkey").alias("x"))
+    b = n.select(F.when(F.col("n_nationkey") >= 3, F.col("n_nationkey")).alias("k"), F.col("n_nationkey").alias("y"))
+    return relational.merge(a, b, ["k"])
+
+
+@query("select coalesce(a.k, b.k) as k, case when b.k is null then 'left_only' when a.k is null then 'right_only' else 'both' end as _merge from (select n_nationkey as k from nation where n_nationkey < 15) a full join (select n_nationkey as k from nation where n_nationkey > 9) b on a.k = b.k")
+def merge_indicator(spark, sf):
+    n = t(spark, sf, "nation").select(F.col("n_nationkey").alias("k"))
+    return relational.merge(n.where("k < 15"), n.where("k > 9"), ["k"], "outer", indicator=True)
+
+
+@query("select n_regionkey, n_name, cast(null as varchar) as r_name from nation union all select r_regionkey, null, r_name from region")
+def concat_by_name(spark, sf):
+    return relational.concat([t(spark, sf, "nation").select("n_regionkey", "n_name"), t(spark, sf, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name"), None], ignore_missing=True)
+
+
+@query("select n_regionkey from nation union all select r_regionkey from region")
+def concat_inner_cols(spark, sf):
+    return relational.concat([t(spark, sf, "nation"), t(spark, sf, "region").withColumnRenamed("r_regionkey", "n_regionkey")], join="inner")
+
+
+@query("select n.n_name, s.s_name from (select n_name, row_number() over (order by n_name) as i from nation) n full join (select s_name, row_number() over (order by s_name) as i from supplier) s on n.i = s.i")
+def concat_side_by_side(spark, sf):
+    return relational.concat_columns([t(spark, sf, "nation").select("n_name"), t(spark, sf, "supplier").select("s_name")], ["n_name", "s_name"])
+
+
+@query("select distinct l_returnflag, l_linestatus, l_linenumber from lineitem")
+def distinct_rows(spark, sf):
+    return relational.distinct(t(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber"))
+
+
+@query("with n as (select count(*) as n from customer) select 0 as part, cast(floor(n * 0.3) as bigint) as rows from n union all select 1, cast(floor(n * 0.5) as bigint) from n union all select 2, n - cast(floor(n * 0.3) as bigint) - cast(floor(n * 0.5) as bigint) from n")
+def split_exact_sizes(spark, sf):
+    df = t(spark, sf, "customer").select("c_custkey")
+    parts = relational.random_split(df, ["c_custkey"], relational.split_sizes(df.count(), [0.3, 0.5], classes=3), seed=7)
+    return relational.concat([p.select(F.lit(i).alias("part")) for i, p in enumerate(parts)]).groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("select 0 as randomclass, (select count(*) from customer) - 60 as rows union all select 1, 60")
+def split_class_column(spark, sf):
+    df = t(spark, sf, "customer").select("c_custkey")
+    return relational.random_class(df, ["c_custkey"], relational.split_sizes(df.count(), counts=[40, 60]), seed=7).groupBy("randomclass").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("select o_orderpriority, count(*) as n from orders group by 1 order by n desc, 1 limit 3")
+def topk_categories(spark, sf):
+    return relational.top(t(spark, sf, "orders"), "o_orderpriority", 3)
+
+
+@query("select o_custkey, o_orderkey from orders where o_custkey in (select o_custkey from orders group by 1 having count(*) >= 12)")
+def drop_small_groups(spark, sf):
+    return relational.drop_small_groups(t(spark, sf, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], 12)
+
+
+@query("select cast(200 as bigint) as draws, true as within")
+def bootstrap_rows(spark, sf):
+    df = relational.bootstrap(t(spark, sf, "customer").select("c_custkey"), 200, ["c_custkey"], 3)
+    return df.agg(F.count(F.lit(1)).alias("draws"), (F.count_distinct("c_custkey") <= 200).alias("within"))
+
+
+# --- encoding ------------------------------------------------------------------------------------------------------
+
+_CODES = "(select o_orderpriority as v, row_number() over (order by min(o_orderkey)) - 1 as c from orders group by 1)"
+
+
+@query(f"select o_orderkey, c as o_orderpriority from orders join {_CODES} on v = o_orderpriority")
+def factorize(spark, sf):
+    return encode.factorize(t(spark, sf, "orders"), ["o_orderprio*"], "o_orderkey")[0].select("o_orderkey", "o_orderpriority")
+
+
+@query("select o_orderkey, o_orderpriority, o_orderstatus from orders")
+def defactorize(spark, sf):
+    coded, maps = encode.factorize(t(spark, sf, "orders"), ["o_orderpriority", "o_orderstatus"], "o_orderkey", in_place=True)
+    return encode.defactorize(coded, maps).select("o_orderkey", "o_orderpriority", "o_orderstatus")
+
+
+@query(f"select v as value, c as code from {_CODES}")
+def factorize_map(spark, sf):
+    return encode.factorize(t(spark, sf, "orders"), ["o_orderpriority"], "o_orderkey")[1]["o_orderpriority"]
+
+
+@query("select o_orderkey, o_orderstatus = 'F' as \"o_orderstatus_F\", o_orderstatus = 'O' as \"o_orderstatus_O\", o_orderstatus = 'P' as \"o_orderstatus_P\" from orders")
+def onehot(spark, sf):
+    return encode.one_hot(t(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderstatus"], {"o_orderstatus": ["F", "O", "P"]}).drop("o_orderstatus")
+
+
+@query("select o_orderkey, case o_orderstatus when 'F' then 'final' when 'O' then 'open' else 'other' end as s from orders")
+def map_values(spark, sf):
+    return encode.map_values(t(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("s")), "s", {"F": "final", "O": "open"}, "other")
+
+
+# --- histograms ----------------------------------------------------------------------------------------------------
+
+
+def _quantity(spark, sf) -> ValueCounts:
+    return fill(relational.select(t(spark, sf, "lineitem"), ["l_discount > 0.02"]), "l_quantity", {"l_quantity": {"bin_width": 5}})
+
+
+_Q = "(select cast(floor(l_quantity / 5) as bigint) as l_quantity, count(*) as count from lineitem where l_discount > 0.02 group by 1)"
+
+
+@query(f"select * from {_Q}")
+def hist_numeric(spark, sf):
+    return _quantity(spark, sf).frame
+
+
+@query("select event_type, count(*) as count from events where event_type is not null group by 1")
+def hist_category(spark, sf):
+    return fill(t(spark, sf, "events"), "event_type").frame
+
+
+@query("select o_orderstatus = 'F' as done, count(*) as count from orders group by 1")
+def hist_boolean(spark, sf):
+    counts = fill(t(spark, sf, "orders").select((F.col("o_orderstatus") == "F").alias("done")), "done").frame
+    return counts.select((F.col("done") == "True").alias("done"), "count")
+
+
+@query("select cast(floor((epoch_us(ts) - 1262563200000000) / 2592000000000.0) as bigint) as ts, count(*) as count from events where ts is not null group by 1")
+def hist_timestamp_30d(spark, sf):
+    return fill(t(spark, sf, "events"), "ts").frame
+
+
+@query("select cast(floor(l_quantity / 10) as bigint) as l_quantity, l_returnflag, cast(floor(l_discount / 0.025) as bigint) as l_discount, count(*) as count from lineitem group by 1, 2, 3")
+def hist_2d(spark, sf):
+    return fill(t(spark, sf, "lineitem"), "l_quantity:l_returnflag:l_discount", {"l_quantity": {"bin_width": 10}, "l_discount": {"bin_width": 0.025}}).frame
+
+
+@query("select cast(greatest(least(case when l_quantity >= 40 then 3 when l_quantity >= 20 then 2 when l_quantity >= 10 then 1 else 0 end, 2), 0) as bigint) as l_quantity, count(*) as count from lineitem group by 1")
+def hist_bin_edges(spark, sf):
+    return fill(t(spark, sf, "lineitem"), "l_quantity", {"l_quantity": {"bin_edges": [5.0, 10.0, 20.0, 40.0]}}).frame
+
+
+@query("select event_type, count(*) as count from events where event_type is not null and event_type not in (select event_type from events group by 1 order by count(*) desc, 1 limit 1) group by 1")
+def hist_drop_keys(spark, sf):
+    e = t(spark, sf, "events")
+    first = relational.top(e, "event_type", 1).first()[0]
+    return fill(e, "event_type", drop={"event_type": [first]}).frame
+
+
+@query("select cast(floor(l_quantity / 10) as bigint) as l_quantity, count(*) as count, round(sum(l_extendedprice), 2) as total from lineitem group by 1")
+def hist_quantity_sum(spark, sf):
+    out = hist.fill_sums(t(spark, sf, "lineitem"), "l_quantity", F.col("l_extendedprice"), {"l_quantity": {"bin_width": 10}})
+    return out.withColumn("total", r("total", 2))
+
+
+@query(
+    "select 'l_linestatus' as variable, cast(null as bigint) as bin, l_linestatus as category, count(*) as count from lineitem group by 3 union all "
+    "select 'l_quantity', cast(floor(l_quantity) as bigint), null, count(*) from lineitem group by 2 union all "
+    "select 'l_returnflag', null, l_returnflag, count(*) from lineitem group by 3"
+)
+def hist_fused(spark, sf):
+    return hist.fill_all(t(spark, sf, "lineitem"), ["l_quantity", "l_returnflag", "l_linestatus"])
+
+
+_FLAGS = "(select l_returnflag, l_linestatus, cast(floor(l_quantity / 10) as bigint) as q, count(*) as c from lineitem group by 1, 2, 3)"
+
+
+def _flags(spark, sf) -> ValueCounts:
+    return fill(t(spark, sf, "lineitem").withColumnRenamed("l_quantity", "q"), "l_returnflag:l_linestatus:q", {"q": {"bin_width": 10}})
+
+
+@query(f"select l_returnflag, cast(sum(c) as bigint) as count from {_FLAGS} group by 1")
+def counts_marginal(spark, sf):
+    return _flags(spark, sf).project("l_returnflag").frame
+
+
+@query(f"select l_linestatus, cast(sum(c) as bigint) as count from {_FLAGS} where l_returnflag in ('A', 'N') and q = 2 group by 1")
+def counts_select(spark, sf):
+    return _flags(spark, sf).project("l_linestatus", {"l_returnflag": ["A", "N"], "q": [2]}).frame
+
+
+@query("select cast(count(*) as bigint) as num_bins, cast(sum(c) as bigint) as sum_counts from " + _FLAGS)
+def counts_totals(spark, sf):
+    got = _flags(spark, sf).totals()
+    return spark.createDataFrame([(got["num_bins"], got["sum_counts"])], "num_bins long, sum_counts long")
+
+
+@query(f"select distinct l_returnflag, l_linestatus from {_FLAGS}")
+def counts_values(spark, sf):
+    return _flags(spark, sf).values("l_returnflag:l_linestatus")
+
+
+@query(f"select l_quantity, count, round(count / (sum(count) over ()), 8) as fraction from {_Q}")
+def hist_normalized(spark, sf):
+    return hist.normalized(_quantity(spark, sf)).withColumn("fraction", r("fraction", 8))
+
+
+@query(f"select cast(k as bigint) as l_quantity, coalesce(count, 0) as count from range(-3, 15) x(k) left join {_Q} on l_quantity = k")
+def hist_zero_filled(spark, sf):
+    return hist.zero_filled(_quantity(spark, sf), -3, 14)
+
+
+@query(f"select cast(sum(count * 5) as bigint) as surface from {_Q}")
+def hist_surface(spark, sf):
+    return hist.surface(_quantity(spark, sf), X.Bins(width=5)).select(F.col("surface").cast("long").alias("surface"))
+
+
+@query(f"select l_quantity, cast(sum(count) as bigint) as count from (select * from {_Q} union all select * from {_Q}) group by 1")
+def hist_combined(spark, sf):
+    return hist.combined([_quantity(spark, sf), _quantity(spark, sf)]).frame
+
+
+@query(f"select l_quantity, count, cast(sum(count) over (order by l_quantity) as bigint) as upto from {_Q}")
+def hist_cdf(spark, sf):
+    return hist.cumulative(_quantity(spark, sf))
+
+
+@query(f"select l_quantity, l_quantity * 5::double as low, l_quantity * 5::double + 5 as high, l_quantity * 5::double + 2.5 as center from {_Q}")
+def hist_bin_centers(spark, sf):
+    b, k = X.Bins(width=5.0, offset=0.0), F.col("l_quantity")
+    return _quantity(spark, sf).frame.select(k, b.left(k).alias("low"), b.right(k).alias("high"), b.center(k).alias("center"))
+
+
+@query("select cast(500 as bigint) as n, true as inside")
+def simulate_from_hist(spark, sf):
+    h = hist.Histogram.of(_quantity(spark, sf), X.Bins(width=5))
+    return h.simulate(spark, 500, 5).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("bin").isin(h.labels())).alias("inside"))
+
+
+# --- periods -------------------------------------------------------------------------------------------------------
+
+
+@query("select cast(floor((epoch_us(ts) - 3600000000) / 43200000000.0) as bigint) as p, count(*) as n from events where ts is not null group by 1")
+def period_uniform(spark, sf):
+    return t(spark, sf, "events").where("ts is not null").groupBy(X.uniform_period(F.col("ts"), "12h", "1h").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select (year(o_orderdate) - 1970) * 12 + month(o_orderdate) - 1 as m, cast(floor(((year(o_orderdate) - 1970) * 12 + month(o_orderdate) - 1) / 3) as bigint) as q, year(o_orderdate) - 1970 as y, count(*) as n from orders group by 1, 2, 3")
+def period_month_ordinal(spark, sf):
+    d = F.col("o_orderdate")
+    return t(spark, sf, "orders").groupBy(X.calendar_period(d, "M").alias("m"), X.calendar_period(d, "Q").alias("q"), X.calendar_period(d, "A").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') as month, strftime(date_trunc('week', o_orderdate), '%Y-%m-%d') as week, strftime(o_orderdate, '%Y-%m-%d') as day, count(*) as n from orders group by 1, 2, 3")
+def period_start(spark, sf):
+    d = F.col("o_orderdate")
+    keys = [X.period_start(X.calendar_period(d, f), f).alias(n) for f, n in (("M", "month"), ("W", "week"), ("D", "day"))]
+    return t(spark, sf, "orders").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- profiles ------------------------------------------------------------------------------------------------------
+
+
+def _stats(c: str, x: str | None, table: str) -> str:
+    number = f"round(avg({x}), 4) as mean, round(stddev_pop({x}), 4) as std, round(min({x}), 4) as min, round(max({x}), 4) as max" if x else "cast(null as double) as mean, cast(null as double) as std, cast(null as double) as min, cast(null as double) as max"
+    return f"select '{c}' as \"column\", count(*) as count, count({c}) as filled, count(distinct {c}) as \"distinct\", count(*) - count({c}) as nan, {number} from {table}"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: r(c) for c in ("mean", "std", "min", "max")})
+
+
+@query(" union all ".join(_stats(c, f"cast({c} as double)", "lineitem") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_linenumber")))
+def profile_numeric(spark, sf):
+    return _rounded(profile.profile(t(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_linenumber"]))
+
+
+@query(" union all ".join(_stats(c, None, "events") for c in ("event_type", "props")))
+def profile_category(spark, sf):
+    return _rounded(profile.profile(t(spark, sf, "events"), ["event_type", "props"]))
+
+
+@query(_stats("ts", "(epoch_us(ts) / 86400000000.0)", "events"))
+def profile_timestamp(spark, sf):
+    return _rounded(profile.profile(t(spark, sf, "events"), ["ts"]))
+
+
+@query("select 'l_extendedprice' as \"column\", cast(sum(l_quantity) as bigint) as count, round(sum(l_quantity * l_extendedprice) / sum(l_quantity), 2) as mean from lineitem")
+def profile_weighted(spark, sf):
+    return profile.profile(t(spark, sf, "lineitem"), ["l_extendedprice"], "l_quantity").select("column", "count", r("mean", 2).alias("mean"))
+
+
+_HAZEN = (
+    "select {g}p, round(case when min_lo >= p then min_x when max_hi <= p then max_x else quantile_x end, 4) as quantile from ("
+    "select {g}p, min(pn) as min_lo, max(pn) as max_hi, min(x) as min_x, max(x) as max_x, "
+    "max(case when pn <= p then x end) + (min(case when pn >= p then x end) - max(case when pn <= p then x end)) * coalesce((p - max(case when pn <= p then pn end)) / nullif(min(case when pn >= p then pn end) - max(case when pn <= p then pn end), 0), 0) as quantile_x "
+    "from (select {g}x, (row_number() over ({part} order by x) - 0.5) / count(*) over ({part}) as pn from ({rows})), (select unnest([0.05, 0.5, 0.95])::double as p) group by {g}p)"
+)
+
+
+@query(_HAZEN.format(g="", part="", rows="select l_extendedprice as x from lineitem where l_extendedprice is not null"))
+def quantiles_hazen(spark, sf):
+    return profile.quantiles(t(spark, sf, "lineitem"), "l_extendedprice", (0.05, 0.5, 0.95)).withColumn("quantile", r("quantile"))
+
+
+@query(_HAZEN.format(g="l_returnflag, ", part="partition by l_returnflag", rows="select l_returnflag, l_quantity as x from lineitem where l_quantity is not null and l_returnflag is not null"))
+def quantiles_by_group(spark, sf):
+    return profile.quantiles(t(spark, sf, "lineitem"), "l_quantity", (0.05, 0.5, 0.95), by=["l_returnflag"]).withColumn("quantile", r("quantile"))
+
+
+@query("select c_mktsegment, count(*) as count, count(distinct c_acctbal) as \"distinct\", round(avg(c_acctbal), 4) as mean, round(stddev_pop(c_acctbal), 4) as std, min(c_acctbal) as min, max(c_acctbal) as max from customer where c_mktsegment is not null group by 1")
+def group_stats(spark, sf):
+    out = profile.group_profile(t(spark, sf, "customer"), "c_acctbal", ["c_mktsegment"])
+    return out.select("c_mktsegment", "count", "distinct", r("mean").alias("mean"), r("std").alias("std"), "min", "max")
+
+
+@query(f"select l_quantity as mode, count from {_Q} order by count desc, l_quantity limit 1")
+def mode_from_hist(spark, sf):
+    return profile.mode(_quantity(spark, sf).frame, "l_quantity")
+
+
+@query(" union all ".join(f"select '{c}' as \"column\", count(*) - count({c}) as nulls from events" for c in ("event_id", "ts", "user_id", "event_type", "value", "props")))
+def null_counts(spark, sf):
+    return profile.null_counts(t(spark, sf, "events"))
+
+
+@query()
+def auto_histogram(spark, sf):
+    return profile.auto_histogram(t(spark, sf, "lineitem"), "l_extendedprice")
+
+
+@query("select cast(least(case when l_quantity >= 30 then 2 when l_quantity >= 20 then 1 else 0 end, 1) as bigint) as bin, count(*) as count from lineitem where l_quantity between 10 and 30 group by 1")
+def auto_histogram_edges(spark, sf):
+    return profile.auto_histogram(t(spark, sf, "lineitem"), "l_quantity", edges=[10.0, 20.0, 30.0]).select("bin", "count")
+
+
+# --- association ---------------------------------------------------------------------------------------------------
+
+_L = ("l_quantity", "l_extendedprice", "l_discount")
+
+
+def _cor(df: DataFrame) -> DataFrame:
+    return df.select("x", "y", (r("cor", 5) + 0.0).alias("cor"))
+
+
+def _pairs(names, f) -> str:
+    return " union all ".join(f"select '{a}' as x, '{b}' as y, round({f(a, b)}, 5) + 0.0 as cor {{tail}}" for a in names for b in names)
+
+
+@query(_pairs(_L, lambda a, b: "1.0" if a == b else f"corr({a}, {b})").replace("{tail}", "from lineitem").replace("round(1.0, 5) + 0.0 as cor from lineitem", "1.0::double as cor"))
+def corr_pearson(spark, sf):
+    return _cor(assoc.pearson(t(spark, sf, "lineitem"), _L))
+
+
+@query(
+    "with k as (select " + ", ".join(f"rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0 as {c}" for c in _L) + " from lineitem) "
+    + _pairs(_L, lambda a, b: "1.0" if a == b else f"corr({a}, {b})").replace("{tail}", "from k").replace("round(1.0, 5) + 0.0 as cor from k", "1.0::double as cor")
+)
+def corr_spearman(spark, sf):
+    return _cor(assoc.spearman(t(spark, sf, "lineitem"), _L))
+
+
+@query(
+    "with c as (select l_linenumber::double as a, l_tax as b, count(*)::double as n from lineitem group by 1, 2), p as (select sum(x.n * y.n * sign(x.a - y.a) * sign(x.b - y.b)) / 2 as s from c x, c y), m as (select sum(n) as m from c), "
+    "ta as (select sum(k * (k - 1) / 2) as t from (select sum(n) as k from c group by a)), tb as (select sum(k * (k - 1) / 2) as t from (select sum(n) as k from c group by b)), "
+    "v as (select round(s / sqrt((m * (m - 1) / 2 - ta.t) * (m * (m - 1) / 2 - tb.t)), 5) + 0.0 as cor from p, m, ta, tb) "
+    "select 'l_linenumber' as x, 'l_tax' as y, cor from v union all select 'l_tax', 'l_linenumber', cor from v union all select 'l_tax', 'l_tax', 1.0::double union all select 'l_linenumber', 'l_linenumber', 1.0::double"
+)
+def corr_kendall(spark, sf):
+    return _cor(assoc.kendall(t(spark, sf, "lineitem"), ["l_linenumber", "l_tax"]))
+
+
+@query(
+    " union all ".join(
+        f"select '{x}' as x, '{y}' as y, round(sum(n * (m - mean) * (m - mean)) / (sum(n) * max(var)), 6) as cor from (select b, count(*) as n, avg({y}) as m from (select {y}, least(greatest(ceil(({x} - lo) / ((hi - lo) / 11)) - 1, 0), 10) as b "
+        f"from lineitem, (select min({x}) as lo, max({x}) as hi from lineitem)) group by b), (select avg({y}) as mean, var_samp({y}) as var from lineitem)"
+        for x in _L
+        for y in _L
+    )
+)
+def corr_ratio(spark, sf):
+    return assoc.correlation_ratio(t(spark, sf, "lineitem"), _L).withColumn("cor", r("cor", 6))
+
+
+_TABLE = "(select l_returnflag as a, l_linestatus as b, count(*)::double as n from lineitem group by 1, 2)"
+
+
+@query(
+    f"with c as {_TABLE}, f as (select n, sum(n) over (partition by a) as na, sum(n) over (partition by b) as nb, sum(n) over () as t, a, b from c) "
+    "select round(max(t) * (sum(n * n / (na * nb)) - 1), 3) as chi2, round(sum(n / t * ln(n * t / (na * nb))), 6) as mi, (count(distinct a) - 1) * (count(distinct b) - 1) as dof from f"
+)
+def contingency_chi2(spark, sf):
+    return assoc.table_stats(assoc.contingency(t(spark, sf, "lineitem"), "l_returnflag", "l_linestatus")).select(r("chi2", 3).alias("chi2"), r("mi", 6).alias("mi"), "dof")
+
+
+@query()
+def mutual_info_binned(spark, sf):
+    return assoc.mutual_information(t(spark, sf, "lineitem"), _L)
+
+
+@query()
+def corr_phik(spark, sf):
+    return assoc.phik(t(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_returnflag"])
+
+
+@query()
+def corr_significance(spark, sf):
+    return assoc.significance(t(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_returnflag"])
+
+
+@query("with v as (select corr(l_quantity, l_extendedprice) as q, corr(l_quantity, l_discount) as d, corr(l_extendedprice, l_discount) as p from lineitem) select cast(6 as bigint) as n, round((2 * q + 2 * d + 2 * p) / 6, 5) as mean, round(greatest(q, d, p), 5) as max, round(least(q, d, p), 5) as min from v")
+def corr_summary(spark, sf):
+    return assoc.correlation_summary(assoc.pearson(t(spark, sf, "lineitem"), _L)).select("n", *[r(c, 5).alias(c) for c in ("mean", "max", "min")])
+
+
+# --- repair --------------------------------------------------------------------------------------------------------
+
+
+def _dirty(spark, sf) -> DataFrame:
+    """Texts as they come: numbers, words and ways to say that a value is missing."""
+    i, v = F.col("event_id"), F.col("value")
+    text = F.when(i % 7 == 0, " nan ").when(i % 11 == 0, "None").when(i % 13 == 0, "").otherwise(F.floor(v).cast("long").cast("string"))
+    return t(spark, sf, "events").select("event_id", text.alias("dirty value!"), F.concat(F.lit(" "), "event_type", F.lit("  ")).alias(" type "))
+
+
+_D = "(select event_id, case when event_id % 7 = 0 then ' nan ' when event_id % 11 = 0 then 'None' when event_id % 13 = 0 then '' else cast(cast(floor(value) as bigint) as varchar) end as v, event_type as type from events)"
+_NONE = "(v is null or lower(trim(v)) in ('', 'none', 'nan'))"
+
+
+@query("select event_id, event_type as \"type\" from events")
+def fix_names(spark, sf):
+    return quality.fix_names(_dirty(spark, sf)).select("event_id", F.trim("type").alias("type"))
+
+
+@query(f"select event_id, {_NONE} as missing from {_D}")
+def fix_missing(spark, sf):
+    return _dirty(spark, sf).select("event_id", X.missing_text(F.col("`dirty value!`")).alias("missing"))
+
+
+@query(f"select 'dirty_value_' as \"column\", cast(count(*) filter (where {_NONE}) as bigint) as nan, cast(0 as bigint) as str, cast(count(*) filter (where not {_NONE}) as bigint) as int from {_D}")
+def infer_types(spark, sf):
+    return quality.type_counts(quality.fix_names(_dirty(spark, sf)), ["dirty_value_"]).select("column", "nan", "str", "int")
+
+
+@query(f"select event_id, case when {_NONE} then null else cast(v as bigint) end as dirty_value_, trim(type) as type from {_D}")
+def coerce_types(spark, sf):
+    return quality.repair(_dirty(spark, sf))[0].select("event_id", "dirty_value_", "type")
+
+
+@query(f"select event_id, case when {_NONE} then -999 else cast(v as bigint) end as dirty_value_ from {_D}")
+def fill_nulls(spark, sf):
+    return quality.repair(_dirty(spark, sf), quality.Repair(fill_missing=True))[0].select("event_id", "dirty_value_")
+
+
+@query("select doc_id, regexp_replace(replace(trim(text), ' ', '_'), '[^A-Za-z0-9_]', '', 'g') as text from documents")
+def clean_strings(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", quality.clean_text(F.col("text"), aggressive=True).alias("text"))
+
+
+# --- mimicry -------------------------------------------------------------------------------------------------------
+
+
+@query("select l_quantity, count(*) as n from lineitem group by 1 having count(*) > (select count(*) / 55 from lineitem)")
+def peaks(spark, sf):
+    df = t(spark, sf, "lineitem")
+    return mimic.peaks(df, "l_quantity", df.count() / 55)
+
+
+@query("select round(min(c_acctbal) - 0.15 * (max(c_acctbal) - min(c_acctbal)), 4) as c_acctbal from customer union all select round(max(c_acctbal) + 0.15 * (max(c_acctbal) - min(c_acctbal)), 4) from customer")
+def extremes(spark, sf):
+    return mimic.extremes(t(spark, sf, "customer"), ["c_acctbal"]).withColumn("c_acctbal", r("c_acctbal"))
+
+
+@query("select event_id, value from events where value is not null and user_id is not null and not isnan(value)")
+def drop_any_null(spark, sf):
+    return mimic.drop_missing(t(spark, sf, "events"), ["value", "user_id"]).select("event_id", "value")
+
+
+@query("select c_acctbal as value, round((rank() over (order by c_acctbal) - 1 + (count(*) over (partition by c_acctbal) - 1) / 2.0) / (count(*) over () - 1), 8) as q from customer where c_acctbal is not null qualify row_number() over (partition by c_acctbal) = 1")
+def normal_scores_rank(spark, sf):
+    return mimic.percent_ranks(t(spark, sf, "customer"), "c_acctbal").withColumn("q", r("q", 8))
+
+
+@query()
+def normal_scores(spark, sf):
+    return mimic.normal_scores(t(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_acctbal")
+
+
+@query(" union all ".join(f"select '{c}' as \"column\", round(1.06 * stddev_pop({c}) * pow(count(*), -1.0 / 7), 5) as bandwidth from lineitem" for c in _L))
+def kde_bandwidth_rule(spark, sf):
+    return mimic.bandwidths(t(spark, sf, "lineitem"), _L).withColumn("bandwidth", r("bandwidth", 5))
+
+
+@query(
+    "with c as (select l_returnflag as a, l_linestatus as b, l_linenumber as d, count(*) as n from lineitem group by 1, 2, 3), p as (select (x.a = y.a)::int * 4 + (x.b = y.b)::int * 2 + (x.d = y.d)::int as pattern, sum(x.n * y.n) as n from c x, c y group by 1) "
+    "select cast(k as integer) as pattern, cast(coalesce(n, 0) as bigint) as n, cast(coalesce(n, 0) - case when k = 7 then (select count(*) from lineitem) else 0 end as bigint) as n_cv from range(8) r(k) left join p on pattern = k"
+)
+def delta_frequencies(spark, sf):
+    return mimic.delta_frequencies(t(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"])
+
+
+_HALF = "(select cast(floor(l_quantity / 5) as bigint) as k, count(*)::double as n from lineitem where l_orderkey % 2 = {} group by 1)"
+
+
+@query(
+    f"with b as (select coalesce(x.n, 0) as o, coalesce(y.n, 0) as e from {_HALF.format(0)} x full join {_HALF.format(1)} y on x.k = y.k), s as (select sum(o) as so, sum(e) as se from b) "
+    "select round(sum(pow(sqrt(se / so) * o - sqrt(so / se) * e, 2) / (o + e)), 5) as chi2, cast(count(*) - (max(so) = max(se))::int as bigint) as dof from b, s"
+)
+def two_sample_chi2(spark, sf):
+    df, spec = t(spark, sf, "lineitem"), {"l_quantity": {"bin_width": 5}}
+    a, b = (fill(df.where(f"l_orderkey % 2 = {k}"), "l_quantity", spec).frame for k in (0, 1))
+    return mimic.two_sample_chi2(a, b, ["l_quantity"]).withColumn("chi2", r("chi2", 5))
+
+
+@query(
+    "with u as (select l_extendedprice as x, (l_orderkey % 2 = 0)::int as a, (l_orderkey % 2 = 1)::int as b from lineitem), p as (select x, sum(a) as a, sum(b) as b from u group by 1), "
+    "c as (select sum(a) over (order by x) / (select sum(a) from u) - sum(b) over (order by x) / (select sum(b) from u) as d from p) select round(max(abs(d)), 8) as d, (select cast(sum(a) as bigint) from u) as n_a, (select cast(sum(b) as bigint) from u) as n_b from c"
+)
+def ks_statistic(spark, sf):
+    df = t(spark, sf, "lineitem")
+    return mimic.ks_statistic(df.where("l_orderkey % 2 = 0"), df.where("l_orderkey % 2 = 1"), "l_extendedprice").withColumn("d", r("d", 8))
+
+
+@query(
+    "with m as (select max(abs(l_quantity)) as q, max(abs(l_extendedprice)) as e, max(abs(l_discount)) as d, max(abs(l_tax)) as x from lineitem), v as (select l_quantity / q as a, l_extendedprice / e as b, l_discount / d as c, l_tax / x as f from lineitem, m), "
+    "z as (select 1 - (a * c + b * f) / nullif(sqrt((a * a + b * b) * (c * c + f * f)), 0) as distance from v) select count(distance) as count, round(avg(distance), 6) as mean, round(min(distance), 6) as min, round(max(distance), 6) as max from z"
+)
+def cosine_distance_summary(spark, sf):
+    d = mimic.cosine_distances(t(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"], ["l_discount", "l_tax"])
+    return mimic.describe(d, "distance").select("count", *[r(c, 6).alias(c) for c in ("mean", "min", "max")])
+
+
+@query()
+def generate_random(spark, sf):
+    return mimic.generate(spark, {"x": {"mean": 5, "std": 2}, "k": {"choices": ["a", "b"], "probabilities": [0.3, 0.7]}, "n": {"std": 10, "type": "int"}}, 1000, 1)
+
+
+@query()
+def generate_mixed(spark, sf):
+    return mimic.mixed_variables(spark, 1000, [{"mean": 1.0}, {"std": 3.0}], [[0.2, 0.8]], [[0.5, 0.3, 0.2]], {"a": {"value": 0.5, "size": 30}}, {"b": 20})
+
+
+@query()
+def kde_resample(spark, sf):
+    df = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    return mimic.resample(df, 1000, ["l_orderkey", "l_linenumber"], {"l_quantity": 0.8}, {"l_returnflag": (0.1, ["A", "N", "R"])}, {"l_linenumber": (0.1, [1, 2, 3, 4, 5, 6, 7])}, 4)
+
+
+@query("select count(*) as n, count(distinct l_returnflag) as k from lineitem")
+def anonymize(spark, sf):
+    return mimic.anonymize(t(spark, sf, "lineitem").select("l_returnflag"), "l_returnflag", 3).agg(F.count("l_returnflag").alias("n"), F.count_distinct("l_returnflag").alias("k"))
+
+
+# --- streaming -----------------------------------------------------------------------------------------------------
+
+
+@query("select event_type, count(*) as count from events where event_type is not null group by 1")
+def stream_histogram(spark, sf):
+    from loomframe.streaming.counts import running_counts
+
+    schema = t(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(sf)
+    q = running_counts(stream, "event_type").writeStream.format("memory").queryName("stream_histogram").outputMode("complete").trigger(availableNow=True).start()
+    try:
+        q.awaitTermination()
+        if q.exception():
+            raise q.exception()
+    finally:
+        q.stop()
+    return spark.table("stream_histogram")
+
