@@ -60,7 +60,7 @@ def superminhash(elements: np.ndarray, owner: np.ndarray, sets: int, m: int = BA
     out = np.full(sets * m, np.iinfo(np.uint64).max, np.uint64)
     for lo in range(0, len(elements), block):
         x, at = elements[lo : lo + block], owner[lo : lo + block]
-        order = np.broadcast_to(np.arange(m, dtype=np.uint8), (len(x), m)).copy()
+        order = np.broadcast_to(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(x), m)).copy()
         for j in range(m):
             r = mix(x + times(j + 1))
             k = (j + (((r >> np.uint64(32)) * np.uint64(m - j)) >> np.uint64(32))).astype(np.intp)
