@@ -152,31 +152,55 @@ def _state(links: DataFrame) -> tuple:
     return r[0], r[1]
 
 
-def banded_components(members: DataFrame, verify, name: str) -> DataFrame:
+def banded_components(members: DataFrame, verify, name: str, compare=None) -> DataFrame:
     """(node, component) for the nodes that are linked through the keys they share.
 
-    members: distinct rows (key, node), already materialized. verify: of rows (a, b), a > b, gives a materialized table
-    of those that are links. The nodes of a key are compared with the least of them: one pair for each member, never all
-    pairs. What is linked then, through whatever keys, is one component. Only nodes of a key that are still in
-    different components are compared pair by pair, all of them; so no link between two components is left out, and a
-    large group of copies costs a pair for each member and key.
+    members: distinct rows (key, node), already materialized. verify: of rows (a, b) gives a materialized table of those
+    that are links. The nodes of a key are compared with one of them, the most popular: the one whose keys have the most
+    nodes in all, as an original has against its altered copies, which are often too far from each other. That is one
+    pair for each member, never all pairs. What is linked then, through whatever keys, is one component. Only nodes of a
+    key that are still in different components are compared pair by pair, all of them; so no link between two
+    components is left out, and a large group of copies costs a pair for each member and key. compare, if given, does this
+    last step its own way: from rows (key, node, c, main), of which those with c <> main are to be compared with all others
+    of their key and of another c, it gives a materialized table of links.
     """
-    keys = members.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    keys = materialize(keys, f"{name}-keys")
-    busy = members.join(keys.where("n > 2").select("key", "b"), "key")
-    pairs = materialize(keys.where("n = 2").select("a", "b").unionByName(busy.select(F.col("node").alias("a"), "b").where("a <> b")).distinct(), f"{name}-pairs")
+    counts = members.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = materialize(counts, f"{name}-counts")
+    several = materialize(members.join(counts.where("n > 2").select("key", "n"), "key"), f"{name}-several")
+    fame = several.groupBy("node").agg(F.sum("n").alias("fame"))
+    known = several.select("key", "node").join(fame, "node")
+    middle = known.groupBy("key").agg(F.max(F.struct("fame", (-F.col("node")).alias("m"))).alias("x")).select("key", (-F.col("x.m")).alias("b"))
+    busy = materialize(several.select("key", "node").join(middle, "key"), f"{name}-busy")
+    discard(several)
+    release(members.sparkSession)
+    spokes = busy.where("node <> b").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
+    pairs = materialize(counts.where("n = 2").select("a", "b").unionByName(spokes).distinct(), f"{name}-pairs")
+    discard(counts)
     links = verify(pairs)
+    discard(pairs)
+    release(members.sparkSession)
     groups = materialize(connected_components(links, name), name)
     named = busy.join(groups.withColumnRenamed("component", "c"), "node", "left").select("key", "b", "node", F.coalesce("c", "node").alias("c"))
     named = materialize(named, f"{name}-named")
-    split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by("c", "node").alias("main")).where("lo <> hi")
-    apart = named.where("node <> b").join(split.select("key", "main"), "key")
-    strays = apart.where("c <> main").select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
-    rest = strays.join(apart.select("key", F.col("node").alias("y"), F.col("c").alias("cy")), "key").where("cx <> cy")
-    rest = materialize(rest.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), f"{name}-rest")
-    if not rest.isEmpty():
-        groups = materialize(connected_components(links.unionByName(verify(rest)), name), name)
-    for table in (keys, pairs, named, rest):
+    split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.when(F.col("node") == F.col("b"), F.col("c"))).alias("main")).where("lo <> hi")
+    apart = materialize(named.where("node <> b").join(split.select("key", "main"), "key"), f"{name}-apart")
+    if apart.isEmpty():
+        more = None
+    elif compare:
+        more = compare(apart)
+    else:
+        strays = apart.where("c <> main").select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
+        rest = strays.join(apart.select("key", F.col("node").alias("y"), F.col("c").alias("cy")), "key").where("cx <> cy")
+        rest = materialize(rest.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), f"{name}-rest")
+        more = None if rest.isEmpty() else verify(rest)
+        discard(rest)
+    if more is not None and not more.isEmpty():
+        groups = materialize(connected_components(links.unionByName(more), name), name)
+    for table in (busy, named, apart):
         discard(table)
     release(members.sparkSession)
     return groups
+
+
+def nodes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import BLANKS, banded_components, discard, documents, let, materialize, release
+from loomframe.llm.common import BLANKS, banded_components, discard, documents, let, materialize, nodes_of, release
 
 #: Lines of fewer characters are never removed.
 LEAST_CHARS = 24
 #: Candidates: shingles of so many characters from each word's start; the least so many of their hashes are the bands.
 ANCHORED, BANDS = 20, 4
-#: Verification: every shingle of so many characters.
+#: Verification: the shingles of so many characters from each word's start. Words are some six characters, so that every
+#: character is in one, and one changed word costs two of them, about as large a part as of all shingles of eight.
 CHARS, PERCENT = 8, 80
+#: Nodes of a key that are still apart are compared in blocks of about so many.
+BLOCK = 128
 
 
 def normal(line: Column) -> Column:
@@ -30,8 +33,16 @@ def signature(line: Column) -> Column:
 
 
 def shingle_set(line: Column) -> Column:
-    """Distinct hashes of all shingles of ``CHARS`` characters."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(f"(?=(.{{{CHARS}}}))"), F.lit(1)), lambda x: F.xxhash64(x)))
+    """Distinct hashes of the shingles of ``CHARS`` characters from each word's start, shorter at the line's end."""
+    found = F.regexp_extract_all(line, F.lit(rf"(?<!\S)(?=(\S.{{0,{CHARS - 1}}}))"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))
+
+
+def alike(x: Column, y: Column, percent: int) -> Column:
+    """Whether the Jaccard similarity of two sets is large enough; by their sizes first."""
+    m, n = F.size(x), F.size(y)
+    shared = let(F.size(F.array_intersect(x, y)), lambda k: k * 100 >= (m + n - k) * percent)
+    return F.when(F.least(m, n) * 100 >= F.greatest(m, n) * percent, shared).otherwise(F.lit(False))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -58,25 +69,48 @@ def line_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lines = lines_of(docs)
     nodes = lines.select(F.xxhash64("line").alias("node"), "doc_id", "line_no", signature(F.col("line")).alias("sig"))
     placed = F.struct("doc_id", "line_no")
-    # a line for each node and document position; partial aggregation meets copies before the shuffle
-    at = materialize(nodes.select("node", "doc_id", "line_no", "sig"), "line-nodes")
-    members = materialize(at.select("node", F.explode("sig").alias("key")).distinct(), "line-members")
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    wanted = members.join(shared, "key", "left_semi").select("node").distinct()
-    text = lines.select(F.xxhash64("line").alias("node"), "line").join(wanted, "node", "left_semi")
-    sets = materialize(text.groupBy("node").agg(F.min("line").alias("line")).select("node", shingle_set(F.col("line")).alias("set")), "line-sets")
+    at = materialize(nodes, "line-nodes")
+    one = at.groupBy("node").agg(F.min(F.struct("doc_id", "line_no", "sig")).alias("o"))
+    one = materialize(one.select("node", "o.*"), "line-one")
     release(docs.sparkSession)
+    members = materialize(one.select("node", F.explode("sig").alias("key")), "line-members")
+
+    kept: list[DataFrame] = []
 
     def verify(pairs: DataFrame) -> DataFrame:
+        """The text comes from each node's first line; only the sets of nodes in pairs are kept, and met by pair."""
+        wanted = one.select("node", F.col("doc_id").alias("_d"), F.col("line_no").alias("_l")).join(nodes_of(pairs), "node", "left_semi")
+        here = (F.xxhash64("line") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line_no") == F.col("_l"))
+        sets = lines.join(wanted, here).groupBy("node").agg(F.min("line").alias("line")).select("node", shingle_set(F.col("line")).alias("set"))
+        sets = materialize(sets, "line-sets")
+        kept.append(sets)
+        release(docs.sparkSession)
         a = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
         b = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-        both = pairs.join(b, "b").join(a, "a").where(F.least(F.size("sa"), F.size("sb")) * 100 >= F.greatest(F.size("sa"), F.size("sb")) * percent)
-        shared = F.size(F.array_intersect("sa", "sb"))
-        linked = both.select("a", "b", shared.alias("n"), (F.size("sa") + F.size("sb")).alias("m")).where(F.col("n") * 100 >= (F.col("m") - F.col("n")) * percent)
-        return materialize(linked.select("a", "b"), "line-links")
-
-    groups = banded_components(members, verify, "line-groups")
-    discard(sets)
+        return materialize(pairs.join(b, "b").join(a, "a").where(alike(F.col("sa"), F.col("sb"), percent)).select("a", "b"), "line-links")
+
+    def compare(apart: DataFrame) -> DataFrame:
+        """In blocks: the nodes of a key in parts of some BLOCK, each part of strays against each part of all."""
+        number = apart.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).alias("block")
+        rows = apart.join(kept[0], "node").join(number, "key").select("key", block, F.struct("node", "c", "set").alias("x"), (F.col("c") != F.col("main")).alias("stray"))
+        rows = materialize(rows, "line-rows")
+        left = rows.where("stray").groupBy("key", "block").agg(F.collect_list("x").alias("xs")).select("key", "xs")
+        right = rows.groupBy("key", "block").agg(F.collect_list("x").alias("ys")).select("key", "ys")
+
+        def against(x: Column) -> Column:
+            near = F.filter(F.col("ys"), lambda y: (x["c"] != y["c"]) & alike(x["set"], y["set"], percent))
+            return F.transform(near, lambda y: F.struct(F.greatest(x["node"], y["node"]).alias("a"), F.least(x["node"], y["node"]).alias("b")))
+
+        links = left.join(right, "key").select(F.explode(F.flatten(F.transform("xs", against))).alias("l")).select("l.a", "l.b").distinct()
+        links = materialize(links, "line-links")
+        discard(rows)
+        return links
+
+    groups = banded_components(members, verify, "line-groups", compare)
+    for table in kept:
+        discard(table)
+    discard(one)
     discard(members)
     named = at.select("node", "doc_id", "line_no").join(groups, "node", "left").select(F.coalesce("component", "node").alias("group"), "doc_id", "line_no")
     first = named.groupBy("group").agg(F.min(placed).alias("first"), F.max(placed).alias("last")).where("first <> last or (first is null) <> (last is null)")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import banded_components, discard, documents, materialize, release, ship
+from loomframe.llm.common import banded_components, discard, documents, materialize, nodes_of, release, ship
 
 WORDS = 5
 #: 16 bands of 4 slots: a pair of similarity 0.85 shares none with a chance of 7 in a million.
@@ -87,41 +87,23 @@ def bands(signatures: np.ndarray, n_bands: int = BANDS, rows: int = ROWS) -> np.
     return mix(out + np.arange(n_bands, dtype=np.uint64) * _MIX[2])
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text_key, n_shingles, class and the band keys of every row (none without words)."""
     for batch in batches:
-        counts, hashes = [], []
-        for value in batch.column(1):
-            s, whole = shingles(value.as_py())
-            counts.append(len(s))
-            hashes.append(whole)
+        found = [shingles(v.as_py()) for v in batch.column(2)]
+        classes = np.array([whole for _, whole in found], np.uint64)
+        keys: dict[int, np.ndarray] = {}
+        for some in _portions({whole: s for s, whole in found if len(s)}):
+            owner = np.repeat(np.arange(len(some)), [len(s) for _, s in some])
+            signatures = superminhash(np.concatenate([s for _, s in some]), owner, len(some))
+            keys |= zip([c for c, _ in some], bands(signatures), strict=True)
+        listed = [keys[c].view(np.int64) if c in keys else [] for c in classes.tolist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(counts, pa.int64()), pa.array(np.array(hashes, np.uint64).view(np.int64))], names=["doc_id", "n_shingles", "class"]
+            [batch.column(0), batch.column(1), pa.array([len(s) for s, _ in found], pa.int64()), pa.array(classes.view(np.int64)), pa.array(listed, pa.list_(pa.int64()))],
+            names=["doc_id", "text_key", "n_shingles", "class", "keys"],
         )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """class, its shingles and its band keys; a class comes again where a text has copies."""
-    for batch in batches:
-        found: dict[int, np.ndarray] = {}
-        for value in batch.column(0):
-            s, whole = shingles(value.as_py())
-            if len(s):
-                found[whole] = s
-        for some in _portions(found):
-            owner = np.repeat(np.arange(len(some)), [len(s) for _, s in some])
-            flat = np.concatenate([s for _, s in some])
-            keys = bands(superminhash(flat, owner, len(some)))
-            offsets = np.concatenate([[0], np.cumsum([len(s) for _, s in some])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.array([c for c, _ in some], np.uint64).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel().view(np.int64))),
-                ],
-                names=["class", "set", "keys"],
-            )
-
-
 def _portions(found: dict[int, np.ndarray], most: int = 300_000) -> Iterator[list[tuple[int, np.ndarray]]]:
     some, n = [], 0
     for item in found.items():
@@ -136,11 +118,14 @@ def _portions(found: dict[int, np.ndarray], most: int = 300_000) -> Iterator[lis
 
 def _verify(percent: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, np.empty(0, np.uint64)
         for batch in batches:
-            a, b, sa, sb = batch.columns
+            a, b, ta, tb = batch.columns
             keep = []
             for i in range(batch.num_rows):
-                x, y = sa[i].values.to_numpy(), sb[i].values.to_numpy()
+                if a[i] != last:  # rows of an a often follow each other
+                    last, x = a[i], shingles(ta[i].as_py())[0]
+                y = shingles(tb[i].as_py())[0]
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep, pa.bool_())), b.filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
@@ -148,14 +133,6 @@ def _verify(percent: int):
     return work
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """Of the pairs (a, b) of classes those whose full sets are similar enough, as a table."""
-    left = pairs.join(sets.select(F.col("class").alias("b"), F.col("set").alias("sb")), "b")
-    both = left.join(sets.select(F.col("class").alias("a"), F.col("set").alias("sa")), "a").select("a", "b", "sa", "sb")
-    both = both.where(f"100 * least(size(sa), size(sb)) >= {percent} * greatest(size(sa), size(sb))")
-    return materialize(both.mapInArrow(_verify(percent), "a long, b long"), name)
-
-
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row: components of the texts whose sets of five-word shingles
     have a Jaccard similarity of ``percent`` hundredths or more.
@@ -172,18 +149,36 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = materialize(docs.select("doc_id", "text").mapInArrow(_classes, f"doc_id {kind}, n_shingles long, class long"), "classes")
-    sets = docs.select("text").mapInArrow(_sets, "class long, set array<long>, keys array<long>")
-    # copies of a text within a batch are one already; the sets of others are told apart by a row of each class
-    sets = materialize(sets, "sets")
-    members = materialize(sets.select(F.col("class").alias("node"), F.explode("keys").alias("key")).distinct(), "members")
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    wanted = members.join(shared, "key", "left_semi").select(F.col("node").alias("class")).distinct()
-    one = sets.select("class", "set").join(wanted, "class", "left_semi").groupBy("class").agg(F.first("set").alias("set"))
-    one = materialize(one, "candidates")
-    discard(sets)
+    key = F.xxhash64("text").alias("text_key")
+    signed = docs.select("doc_id", key, "text").mapInArrow(_signed, f"doc_id {kind}, text_key long, n_shingles long, class long, keys array<long>")
+    rows = materialize(signed, "signed")
+    one = rows.where("n_shingles > 0").groupBy("class").agg(F.min(F.struct("text_key", "doc_id", "n_shingles", "keys")).alias("o"))
+    one = materialize(one.select("class", "o.*"), "classes")
+    members = materialize(one.select(F.col("class").alias("node"), F.explode("keys").alias("key")), "members")
+    sizes = one.select("class", "n_shingles")
     release(spark)
-    groups = banded_components(members, lambda pairs: _links(pairs, one, percent, "links"), "groups").withColumnRenamed("node", "class")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        """Only pairs of sets of like sizes need their texts, which come from one row of each class and meet by pair."""
+        a, b = (sizes.select(F.col("class").alias(c), F.col("n_shingles").alias(f"n{c}")) for c in "ab")
+        likely = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
+        likely = materialize(likely, "likely")
+        wanted = one.select("class", F.col("text_key").alias("_k"), F.col("doc_id").alias("_d")).join(nodes_of(likely), F.col("class") == F.col("node"), "left_semi")
+        source = docs.select("doc_id", key, "text")
+        text = source.join(wanted, (F.col("text_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("class", "text")
+        text = materialize(text.dropDuplicates(["class"]), "texts")
+        release(spark)
+        left = likely.join(text.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b")
+        both = left.join(text.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+        links = materialize(both.mapInArrow(_verify(percent), "a long, b long"), "links")
+        discard(likely)
+        discard(text)
+        return links
+
+    groups = banded_components(members, verify, "groups").withColumnRenamed("node", "class")
+    discard(one)
+    discard(members)
+    rows = rows.select("doc_id", "n_shingles", "class")
     least = rows.join(groups, "class", "left").select(
         "doc_id", "n_shingles", "class", F.coalesce("component", "class").alias("group")
     )

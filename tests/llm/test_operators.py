@@ -113,7 +113,7 @@ def test_lines(docs):
             if len(line) >= 24 and len(n := line.strip(" \t\n\x0b\x0c\r").lower()) >= 24:
                 occ[n].append((i, k))
     names = sorted(occ)
-    comp = components({k: {n[j : j + 8] for j in range(len(n) - 7)} for k, n in enumerate(names)}, 80)
+    comp = components({k: {m[1] for m in re.finditer(r"(?<!\S)(?=(\S.{0,7}))", n)} for k, n in enumerate(names)}, 80)
     groups = defaultdict(list)
     for k, n in enumerate(names):
         groups[comp[k]] += occ[n]
