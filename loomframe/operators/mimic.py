@@ -140,16 +140,22 @@ def percent_ranks(df: DataFrame, column: str) -> DataFrame:
     return upto.select("value", F.coalesce(F.try_divide(F.col("upto") - (F.col("n") + 1) / 2, F.col("t") - 1), F.lit(0.5)).alias("q"))
 
 
-@F.pandas_udf("double")
-def inverse_normal(q: pd.Series) -> pd.Series:
-    inv = NormalDist().inv_cdf
-    return q.map(lambda p: None if pd.isna(p) else inv(min(max(p, 1e-7), 1 - 1e-7)))
+def inverse_normal(q: str | Column) -> Column:
+    """The standard normal quantile. The function is made here, so that workers get it with the plan."""
 
+    def work(q: pd.Series) -> pd.Series:
+        inv = NormalDist().inv_cdf
+        return q.map(lambda p: None if pd.isna(p) else inv(min(max(p, 1e-7), 1 - 1e-7)))
 
-@F.pandas_udf("double")
-def normal_cdf(z: pd.Series) -> pd.Series:
-    cdf = NormalDist().cdf
-    return z.map(lambda x: None if pd.isna(x) else cdf(x))
+    return F.pandas_udf(work, "double")(q)
+
+
+def normal_cdf(z: str | Column) -> Column:
+    def work(z: pd.Series) -> pd.Series:
+        cdf = NormalDist().cdf
+        return z.map(lambda x: None if pd.isna(x) else cdf(x))
+
+    return F.pandas_udf(work, "double")(z)
 
 
 def normal_scores(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
