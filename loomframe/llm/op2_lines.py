@@ -46,31 +46,31 @@ def alike(x: Column, y: Column, percent: int) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0) and the normal form of every line that is long enough."""
+    """doc_id, text_key (64-bit hash of the text), line_no (from 0) and the normal form of every line that is long enough."""
     return (
-        docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+        docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
         .where(F.length("raw") >= LEAST_CHARS)
-        .select("doc_id", "line_no", normal(F.col("raw")).alias("line"))
+        .select("doc_id", "text_key", "line_no", normal(F.col("raw")).alias("line"))
         .where(F.length("line") >= LEAST_CHARS)
     )
 
 
 def line_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, line_no, first_doc_id, first_line_no and kept for every line that has a copy or near copy.
+    """doc_id, text_key, line_no, first_doc_id, first_line_no and kept for every line that has a copy or near copy.
 
     Lines are compared without case and outer blanks. Equal lines are one node from the start (by a 64-bit hash). Nodes
     that share a band are compared by ``banded_components``; a link is a Jaccard similarity of the full sets of
     8-character shingles of ``percent`` hundredths or more. Of each component the first line stays: least doc_id, then
-    least line_no.
+    least line_no, then least text_key (which counts where ids are null or repeat with other texts).
 
     Null and empty texts have no lines. Rows with the same doc_id and text are one document: their lines are alike, and
     repeats between them don't count. A null doc_id comes first. Other columns are ignored; an empty table gives no rows.
     """
     lines = lines_of(docs)
-    nodes = lines.select(F.xxhash64("line").alias("node"), "doc_id", "line_no", signature(F.col("line")).alias("sig"))
-    placed = F.struct("doc_id", "line_no")
+    nodes = lines.select(F.xxhash64("line").alias("node"), "doc_id", "text_key", "line_no", signature(F.col("line")).alias("sig"))
+    placed = F.struct("doc_id", "line_no", "text_key")
     at = materialize(nodes, "line-nodes")
-    one = at.groupBy("node").agg(F.min(F.struct("doc_id", "line_no", "sig")).alias("o"))
+    one = at.groupBy("node").agg(F.min(F.struct("doc_id", "line_no", "text_key", "sig")).alias("o"))
     one = materialize(one.select("node", "o.*"), "line-one")
     release(docs.sparkSession)
     members = materialize(one.select("node", F.explode("sig").alias("key")), "line-members")
@@ -79,8 +79,8 @@ def line_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     def verify(pairs: DataFrame) -> DataFrame:
         """The text comes from each node's first line; only the sets of nodes in pairs are kept, and met by pair."""
-        wanted = one.select("node", F.col("doc_id").alias("_d"), F.col("line_no").alias("_l")).join(nodes_of(pairs), "node", "left_semi")
-        here = (F.xxhash64("line") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line_no") == F.col("_l"))
+        wanted = one.select("node", F.col("doc_id").alias("_d"), F.col("line_no").alias("_l"), F.col("text_key").alias("_t")).join(nodes_of(pairs), "node", "left_semi")
+        here = (F.xxhash64("line") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line_no") == F.col("_l")) & (F.col("text_key") == F.col("_t"))
         sets = lines.join(wanted, here).groupBy("node").agg(F.min("line").alias("line")).select("node", shingle_set(F.col("line")).alias("set"))
         sets = materialize(sets, "line-sets")
         kept.append(sets)
@@ -112,21 +112,23 @@ def line_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         discard(table)
     discard(one)
     discard(members)
-    named = at.select("node", "doc_id", "line_no").join(groups, "node", "left").select(F.coalesce("component", "node").alias("group"), "doc_id", "line_no")
+    named = at.select("node", "doc_id", "text_key", "line_no").join(groups, "node", "left").select(F.coalesce("component", "node").alias("group"), "doc_id", "text_key", "line_no")
     first = named.groupBy("group").agg(F.min(placed).alias("first"), F.max(placed).alias("last")).where("first <> last or (first is null) <> (last is null)")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no")) & (F.col("text_key") == F.col("first.text_key"))
     return named.join(first, "group").select(
         "doc_id",
+        "text_key",
         F.col("line_no").cast("long").alias("line_no"),
         F.col("first.doc_id").alias("first_doc_id"),
         F.col("first.line_no").cast("long").alias("first_line_no"),
-        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))).alias("kept"),
+        same.alias("kept"),
     )
 
 
 def drop_lines(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """Documents without the lines that aren't kept; those without a word left go. n_chars follows the text."""
-    gone = groups.where("not kept").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.col("line_no").cast("int")).alias("_gone"))
-    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    gone = groups.where("not kept").groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(F.collect_set(F.col("line_no").cast("int")).alias("_gone"))
+    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_key")), "left")
     left = let(
         F.split("text", "\n"),
         lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda i: x[i]), "\n"),
@@ -145,7 +147,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of documents that repeats, and whether it stays."""
-    return line_groups(documents(spark, sf_dir))
+    return line_groups(documents(spark, sf_dir)).drop("text_key")
 
 
 QUERIES = {"op2_lines": op2_lines}

@@ -66,6 +66,23 @@ def overlap(doc: Column, item: Column, shift: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(item) - 1), start, step, lambda a: F.struct(a["n_match"].alias("n_match"), a["item_start"].alias("item_start"), a["n_tokens"].alias("n_tokens")))
 
 
+def verified(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, text_key (64-bit hash of the text), item_id, shift, item_tokens and the overlap ``o`` of every diagonal that counts."""
+    wanted = materialize(benchmark.select("item_id", tokens(F.col("text")).alias("item")), "items")
+    test = materialize(wanted.select("item_id", F.posexplode(seeds(F.col("item"))).alias("n", "seed")), "item-seeds")
+    where = (F.col("n") / len(MASKS)).cast("int")
+    known = test.select("seed", "item_id", where.alias("j"))
+    known = F.broadcast(known) if test.count() <= BROADCAST_ROWS else known
+    key = F.xxhash64("text").alias("text_key")
+    train = docs.select("doc_id", key, F.posexplode(seeds(tokens(F.col("text")))).alias("n", "seed")).select("doc_id", "text_key", where.alias("i"), "seed")
+    hits = materialize(train.join(known, "seed").select("doc_id", "text_key", "item_id", (F.col("i") - F.col("j")).alias("shift")).distinct(), "hits")
+    here = F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.xxhash64("text") == F.col("text_key"))
+    found = docs.select(F.col("doc_id").alias("_doc"), "text").join(hits, here).select("doc_id", "text_key", "item_id", "shift", tokens(F.col("text")).alias("doc"))
+    found = found.join(wanted, "item_id").select("doc_id", "text_key", "item_id", "shift", F.size("item").alias("item_tokens"), overlap(F.col("doc"), F.col("item"), F.col("shift")).alias("o"))
+    discard(test)
+    return found.where(F.col("o.n_match") >= F.least(F.lit(LEAST_MATCHES), F.col("item_tokens")))
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_match, n_tokens, doc_start, item_start and item_tokens: the best verified overlap of each pair.
 
@@ -74,19 +91,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts have no tokens; rows with equal doc_id are one document as far as the result goes; other columns are ignored;
     an empty table on either side gives no rows.
     """
-    wanted = materialize(benchmark.select("item_id", tokens(F.col("text")).alias("item")), "items")
-    test = materialize(wanted.select("item_id", F.posexplode(seeds(F.col("item"))).alias("n", "seed")), "item-seeds")
-    where = (F.col("n") / len(MASKS)).cast("int")
-    known = test.select("seed", "item_id", where.alias("j"))
-    known = F.broadcast(known) if test.count() <= BROADCAST_ROWS else known
-    train = docs.select("doc_id", F.posexplode(seeds(tokens(F.col("text")))).alias("n", "seed")).select("doc_id", where.alias("i"), "seed")
-    hits = materialize(train.join(known, "seed").select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("shift")).distinct(), "hits")
-    found = docs.select(F.col("doc_id").alias("_doc"), "text").join(hits, F.col("_doc").eqNullSafe(F.col("doc_id"))).select("doc_id", "item_id", "shift", tokens(F.col("text")).alias("doc"))
-    found = found.join(wanted, "item_id").select("doc_id", "item_id", "shift", F.size("item").alias("item_tokens"), overlap(F.col("doc"), F.col("item"), F.col("shift")).alias("o"))
-    found = found.where(F.col("o.n_match") >= F.least(F.lit(LEAST_MATCHES), F.col("item_tokens")))
+    found = verified(docs, benchmark)
     best = F.max(F.struct("o.n_match", (-F.col("shift")).alias("back"), "o.item_start", "o.n_tokens", "item_tokens"))
     out = found.groupBy("doc_id", "item_id").agg(best.alias("b"))
-    discard(test)
     return out.select("doc_id", "item_id", "b.n_match", "b.n_tokens", (F.col("b.item_start") - F.col("b.back")).alias("doc_start"), "b.item_start", "b.item_tokens")
 
 
@@ -95,9 +102,9 @@ def benchmark_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents with an overlap go."""
-    leaked = overlaps(docs, benchmark_of(spark, sf_dir)).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
+    """Pipeline stage: documents with an overlap go, by doc_id and text."""
+    leaked = verified(docs, benchmark_of(spark, sf_dir)).select(F.col("doc_id").alias("_leaked"), F.col("text_key").alias("_key")).distinct()
+    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("_leaked")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import banded_components, discard, documents, materialize, nodes_of, release, ship
+from loomframe.llm.common import BLANKS, banded_components, discard, documents, materialize, nodes_of, release, ship
 
 WORDS = 5
 #: 16 bands of 4 slots: a pair of similarity 0.85 shares none with a chance of 7 in a million.
@@ -134,7 +134,12 @@ def _verify(percent: int):
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row: components of the texts whose sets of five-word shingles
+    """doc_id, n_shingles, component_id and kept for every row; see ``marked``."""
+    return marked(docs, percent).drop("text_key")
+
+
+def marked(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """doc_id, text_key (64-bit hash of the text), n_shingles, component_id and kept for every row: components of the texts whose sets of five-word shingles
     have a Jaccard similarity of ``percent`` hundredths or more.
 
     Texts of the same words are one class from the start (by a 64-bit hash of the word sequence). Signatures find the
@@ -143,7 +148,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     Null, empty and blank texts have no shingles and a component of their own: their doc_id, and kept is true. Repeated
     rows are in the component of their text. Where doc_id is null the row takes no part in the minimum; a component of
-    nulls only has a null component_id and keeps none but counts as not kept. Other columns are ignored; an empty table
+    nulls only has a null component_id and keeps one row, of the least text_key. Other columns are ignored; an empty table
     gives no rows.
     """
     spark = docs.sparkSession
@@ -151,7 +156,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     key = F.xxhash64("text").alias("text_key")
     signed = docs.select("doc_id", key, "text").mapInArrow(_signed, f"doc_id {kind}, text_key long, n_shingles long, class long, keys array<long>")
-    rows = materialize(signed, "signed")
+    rows = materialize(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
     one = rows.where("n_shingles > 0").groupBy("class").agg(F.min(F.struct("text_key", "doc_id", "n_shingles", "keys")).alias("o"))
     one = materialize(one.select("class", "o.*"), "classes")
     members = materialize(one.select(F.col("class").alias("node"), F.explode("keys").alias("key")), "members")
@@ -178,23 +183,35 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     groups = banded_components(members, verify, "groups").withColumnRenamed("node", "class")
     discard(one)
     discard(members)
-    rows = rows.select("doc_id", "n_shingles", "class")
+    rows = rows.select("doc_id", "text_key", "n_shingles", "class", "row")
     least = rows.join(groups, "class", "left").select(
-        "doc_id", "n_shingles", "class", F.coalesce("component", "class").alias("group")
+        "doc_id", "text_key", "n_shingles", "row", F.coalesce("component", "class").alias("group")
     )
-    smallest = least.where("n_shingles > 0").groupBy("group").agg(F.min("doc_id").alias("smallest"))
+    place = F.struct("text_key", "row")
+    nameless = F.min(F.when(F.col("doc_id").isNull(), place)).alias("nameless")
+    smallest = least.where("n_shingles > 0").groupBy("group").agg(F.min("doc_id").alias("smallest"), nameless)
+    chosen = F.when(F.col("smallest").isNull(), place == F.col("nameless")).otherwise(F.col("doc_id") == F.col("smallest"))
     return least.join(smallest, "group", "left").select(
         "doc_id",
+        "text_key",
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.coalesce((F.col("n_shingles") == 0) | (F.col("doc_id") == F.col("smallest")), F.lit(False)).alias("kept"),
+        F.coalesce((F.col("n_shingles") == 0) | chosen, F.lit(False)).alias("kept"),
     )
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates (similarity 0.8 or more) the document of least doc_id stays."""
-    gone = near_duplicates(docs, 80).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """Pipeline stage: of each group of near-duplicates (similarity 0.8 or more) the document of least doc_id stays.
+
+    Rows go by doc_id and text. Of a group without any id one row stays: equal texts of it can't be told apart by these
+    two, so that they are one row from the start, the least by all columns.
+    """
+    words = F.btrim(F.coalesce("text", F.lit("")), F.lit(BLANKS)) != ""
+    nameless = docs.where(F.col("doc_id").isNull() & words)
+    one = nameless.groupBy(F.xxhash64("text").alias("_key")).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    docs = docs.where(F.col("doc_id").isNotNull() | ~words).unionByName(one)
+    gone = marked(docs, 80).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
