@@ -9,10 +9,11 @@ from loomframe.llm.common import BLANKS, banded_components, discard, documents,
 
 #: Lines of fewer characters are never removed.
 LEAST_CHARS = 24
-#: Candidates: shingles of so many characters from each word's start; the least so many of their hashes are the bands.
+#: Candidates: shingles of so many characters, from every character; the least so many of their hashes are the bands.
 ANCHORED, BANDS = 20, 4
-#: Verification: the shingles of so many characters from each word's start. Words are some six characters, so that every
-#: character is in one, and one changed word costs two of them, about as large a part as of all shingles of eight.
+#: Lines of fewer than 24 characters that are alike share 11 at least: these, if there are so many, are bands of theirs.
+SHORT, SHORT_LINE = 11, 24
+#: Verification: the shingles of so many characters from every character; a shorter line is one.
 CHARS, PERCENT = 8, 80
 #: Nodes of a key that are still apart are compared in blocks of about so many.
 BLOCK = 128
@@ -22,18 +23,31 @@ def normal(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(BLANKS)))
 
 
+def shingles(line: Column, n: int) -> Column:
+    """Distinct hashes of the shingles of n characters from every character; none for a shorter line."""
+    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))
+
+
 def signature(line: Column) -> Column:
-    """The least ``BANDS`` distinct hashes of the line's anchored shingles: a MinHash by bottom-k.
+    """The least ``BANDS`` distinct hashes of the line's shingles: a MinHash by bottom-k, one band for each of them.
 
-    One band for each of them. Two lines that share four fifths of these shingles have none in common only where one
-    line's own shingles take all four places: a chance of 3 in 10,000.
+    Two lines that share a part j of these shingles have no band in common with a chance of (1 - j) ** BANDS at most.
     """
-    found = F.regexp_extract_all(line, F.lit(rf"(?<!\S)(?=(\S.{{{ANCHORED - 1}}}))"), F.lit(1))
-    return F.slice(F.sort_array(F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))), 1, BANDS)
+
+    def least(n: int) -> Column:
+        return F.slice(F.sort_array(shingles(line, n)), 1, BANDS)
+
+    short = F.concat(least(SHORT), least(ANCHORED))
+    return F.when(F.length(line) < SHORT_LINE, short).otherwise(least(ANCHORED))
 
 
 def shingle_set(line: Column) -> Column:
-    """Distinct hashes of the shingles of ``CHARS`` characters from each word's start, shorter at the line's end."""
+    return F.when(F.length(line) < CHARS, F.array(F.xxhash64(line))).otherwise(shingles(line, CHARS))
+
+
+def word_start_set(line: Column) -> Column:
+    """Only the shingles from word starts, shorter at the line's end: what follows a word's 8th character is in none."""
     found = F.regexp_extract_all(line, F.lit(rf"(?<!\S)(?=(\S.{{0,{CHARS - 1}}}))"), F.lit(1))
     return F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))
 
@@ -55,12 +69,13 @@ def lines_of(docs: DataFrame) -> DataFrame:
     )
 
 
-def line_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def line_groups(docs: DataFrame, percent: int = PERCENT, set_of=word_start_set) -> DataFrame:
     """doc_id, text_key, line_no, first_doc_id, first_line_no and kept for every line that has a copy or near copy.
 
     Lines are compared without case and outer blanks. Equal lines are one node from the start (by a 64-bit hash). Nodes
-    that share a band are compared by ``banded_components``; a link is a Jaccard similarity of the full sets of
-    8-character shingles of ``percent`` hundredths or more. Of each component the first line stays: least doc_id, then
+    that share a band are compared by ``banded_components``; a link is a Jaccard similarity of the lines'
+    sets of ``percent`` hundredths or more: set_of is shingle_set (every character; the query and the stage) or the
+    coarser word_start_set. Of each component the first line stays: least doc_id, then
     least line_no, then least text_key (which counts where ids are null or repeat with other texts).
 
     Null and empty texts have no lines. Rows with the same doc_id and text are one document: their lines are alike, and
@@ -78,31 +93,35 @@ def line_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     kept: list[DataFrame] = []
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """The text comes from each node's first line; only the sets of nodes in pairs are kept, and met by pair."""
+        """The text comes from each node's first line; only the lines of nodes in pairs are kept, and met by pair."""
         wanted = one.select("node", F.col("doc_id").alias("_d"), F.col("line_no").alias("_l"), F.col("text_key").alias("_t")).join(nodes_of(pairs), "node", "left_semi")
         here = (F.xxhash64("line") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line_no") == F.col("_l")) & (F.col("text_key") == F.col("_t"))
-        sets = lines.join(wanted, here).groupBy("node").agg(F.min("line").alias("line")).select("node", shingle_set(F.col("line")).alias("set"))
-        sets = materialize(sets, "line-sets")
-        kept.append(sets)
+        texts = lines.join(wanted, here).groupBy("node").agg(F.min("line").alias("line"))
+        texts = materialize(texts, "line-texts")
+        kept.append(texts)
         release(docs.sparkSession)
-        a = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
-        b = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-        return materialize(pairs.join(b, "b").join(a, "a").where(alike(F.col("sa"), F.col("sb"), percent)).select("a", "b"), "line-links")
+        a = texts.select(F.col("node").alias("a"), F.col("line").alias("la"))
+        b = texts.select(F.col("node").alias("b"), F.col("line").alias("lb"))
+        near = let(set_of(F.col("la")), lambda x: let(set_of(F.col("lb")), lambda y: alike(x, y, percent)))
+        return materialize(pairs.join(b, "b").join(a, "a").where(near).select("a", "b"), "line-links")
 
     def compare(apart: DataFrame) -> DataFrame:
         """In blocks: the nodes of a key in parts of some BLOCK, each part of strays against each part of all."""
         number = apart.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
         block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).alias("block")
-        rows = apart.join(kept[0], "node").join(number, "key").select("key", block, F.struct("node", "c", "set").alias("x"), (F.col("c") != F.col("main")).alias("stray"))
+        rows = apart.join(kept[0], "node").join(number, "key").select("key", block, F.struct("node", "c", "line").alias("x"), (F.col("c") != F.col("main")).alias("stray"))
         rows = materialize(rows, "line-rows")
         left = rows.where("stray").groupBy("key", "block").agg(F.collect_list("x").alias("xs")).select("key", "xs")
         right = rows.groupBy("key", "block").agg(F.collect_list("x").alias("ys")).select("key", "ys")
 
-        def against(x: Column) -> Column:
-            near = F.filter(F.col("ys"), lambda y: (x["c"] != y["c"]) & alike(x["set"], y["set"], percent))
+        def with_sets(xs: str) -> Column:
+            return F.transform(xs, lambda x: F.struct(x["node"].alias("node"), x["c"].alias("c"), set_of(x["line"]).alias("set")))
+
+        def against(x: Column, ys: Column) -> Column:
+            near = F.filter(ys, lambda y: (x["c"] != y["c"]) & alike(x["set"], y["set"], percent))
             return F.transform(near, lambda y: F.struct(F.greatest(x["node"], y["node"]).alias("a"), F.least(x["node"], y["node"]).alias("b")))
 
-        links = left.join(right, "key").select(F.explode(F.flatten(F.transform("xs", against))).alias("l")).select("l.a", "l.b").distinct()
+        links = left.join(right, "key").select(F.explode(let(with_sets("ys"), lambda ys: F.flatten(F.transform(with_sets("xs"), lambda x: against(x, ys))))).alias("l")).select("l.a", "l.b").distinct()
         links = materialize(links, "line-links")
         discard(rows)
         return links
@@ -142,12 +161,12 @@ def drop_lines(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of lines only the first stays."""
-    return drop_lines(docs, line_groups(docs))
+    return drop_lines(docs, line_groups(docs, set_of=shingle_set))
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of documents that repeats, and whether it stays."""
-    return line_groups(documents(spark, sf_dir)).drop("text_key")
+    return line_groups(documents(spark, sf_dir), set_of=shingle_set).drop("text_key")
 
 
 QUERIES = {"op2_lines": op2_lines}
