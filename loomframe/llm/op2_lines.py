@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from loomframe.llm.common import BLANKS, banded_components, discard, documents, let, materialize, nodes_of, release
 
-#: Lines of fewer characters are never removed.
-LEAST_CHARS = 24
 #: Candidates: shingles of so many characters, from every character; the least so many of their hashes are the bands.
 ANCHORED, BANDS = 20, 4
 #: Lines of fewer than 24 characters that are alike share 11 at least: these, if there are so many, are bands of theirs.
@@ -60,19 +58,19 @@ def alike(x: Column, y: Column, percent: int) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key (64-bit hash of the text), line_no (from 0) and the normal form of every line that is long enough."""
+    """doc_id, text_key (64-bit hash of the text), line_no (from 0) and the normal form of every line that has a word."""
     return (
         docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-        .where(F.length("raw") >= LEAST_CHARS)
         .select("doc_id", "text_key", "line_no", normal(F.col("raw")).alias("line"))
-        .where(F.length("line") >= LEAST_CHARS)
+        .where("line <> ''")
     )
 
 
 def line_groups(docs: DataFrame, percent: int = PERCENT, set_of=word_start_set) -> DataFrame:
     """doc_id, text_key, line_no, first_doc_id, first_line_no and kept for every line that has a copy or near copy.
 
-    Lines are compared without case and outer blanks. Equal lines are one node from the start (by a 64-bit hash). Nodes
+    Every line with a word counts, however short. Lines are compared without case and outer blanks. Equal lines are one
+    node from the start (by a 64-bit hash), and those of fewer than SHORT characters are met by that alone. Nodes
     that share a band are compared by ``banded_components``; a link is a Jaccard similarity of the lines'
     sets of ``percent`` hundredths or more: set_of is shingle_set (every character; the query and the stage) or the
     coarser word_start_set. Of each component the first line stays: least doc_id, then

@@ -29,3 +29,17 @@ def test_lines_are_compared_by_all_characters(spark):
         other_ends,
     ]
     assert grouped(spark, texts) == {(2, 0): (2, 0), (3, 0): (2, 0), (4, 0): (4, 0), (5, 0): (4, 0)}
+
+
+def test_short_lines_count(spark):
+    texts = ["All rights reserved.\n}\n \n\ntwelve chars", "all rights reserved. \n}\n\n", "next\nto all rights reserved", "next\ntwelve charsX"]
+    assert grouped(spark, texts) == {
+        (0, 0): (0, 0),
+        (1, 0): (0, 0),
+        (0, 1): (0, 1),
+        (1, 1): (0, 1),
+        (2, 0): (2, 0),
+        (3, 0): (2, 0),
+        (0, 4): (0, 4),
+        (3, 1): (0, 4),
+    }
