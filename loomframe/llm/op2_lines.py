@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from loomframe.llm.common import BLANKS, banded_components, discard, documents, let, materialize, nodes_of, release
 
-#: Candidates: shingles of so many characters, from every character; the least so many of their hashes are the bands.
-ANCHORED, BANDS = 20, 4
-#: Lines of fewer than 24 characters that are alike share 11 at least: these, if there are so many, are bands of theirs.
-SHORT, SHORT_LINE = 11, 24
+#: Candidates: shingles of so many characters from each word's start and, after RUN characters without a blank, from
+#: every character; the least so many of their hashes are the bands.
+ANCHORED, BANDS, RUN = 20, 4, 12
+#: Lines of fewer than MIDDLE characters have as many bands from every character besides. Those of fewer than 24 that are
+#: alike share SHORT characters at least: these, if there are so many, are bands of theirs.
+SHORT, SHORT_LINE, MIDDLE = 11, 24, 48
+#: Words of 64 bits of a set's sketch.
+SKETCH = 4
 #: Verification: the shingles of so many characters from every character; a shorter line is one.
 CHARS, PERCENT = 8, 80
 #: Nodes of a key that are still apart are compared in blocks of about so many.
@@ -27,17 +31,21 @@ def shingles(line: Column, n: int) -> Column:
     return F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))
 
 
+def least(hashes: Column) -> Column:
+    return F.slice(F.sort_array(hashes), 1, BANDS)
+
+
 def signature(line: Column) -> Column:
-    """The least ``BANDS`` distinct hashes of the line's shingles: a MinHash by bottom-k, one band for each of them.
+    """The least ``BANDS`` distinct hashes of the line's anchored shingles, and of all of them where the line isn't long: a
+    MinHash by bottom-k, one band for each hash.
 
     Two lines that share a part j of these shingles have no band in common with a chance of (1 - j) ** BANDS at most.
     """
-
-    def least(n: int) -> Column:
-        return F.slice(F.sort_array(shingles(line, n)), 1, BANDS)
-
-    short = F.concat(least(SHORT), least(ANCHORED))
-    return F.when(F.length(line) < SHORT_LINE, short).otherwise(least(ANCHORED))
+    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?:(?<!\S)|(?<=\S{{{RUN}}}))(?=(\S.{{{ANCHORED - 1}}}))"), F.lit(1))
+    anchored = least(F.array_distinct(F.transform(found, lambda x: F.xxhash64(x))))
+    n = F.length(line)
+    more = F.when(n < SHORT_LINE, F.concat(least(shingles(line, SHORT)), least(shingles(line, ANCHORED)))).otherwise(least(shingles(line, ANCHORED)))
+    return F.when(n < MIDDLE, F.array_distinct(F.concat(anchored, more))).otherwise(anchored)
 
 
 def shingle_set(line: Column) -> Column:
@@ -57,6 +65,27 @@ def alike(x: Column, y: Column, percent: int) -> Column:
     return F.when(F.least(m, n) * 100 >= F.greatest(m, n) * percent, shared).otherwise(F.lit(False))
 
 
+def sketch(x: Column) -> Column:
+    """A set as a bitmap: each hash sets one of 64 * SKETCH bits."""
+
+    def word(k: int) -> Column:
+        bits = F.transform(F.filter(x, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(SKETCH - 1)) == k), lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+    return F.struct(*[word(k).alias(f"w{k}") for k in range(SKETCH)])
+
+
+def may_be_alike(x: Column, y: Column, percent: int) -> Column:
+    """False only where the sketches show that ``alike`` is: a bit that one set lacks is an element of the other it lacks."""
+
+    def lacks(a: Column, b: Column) -> Column:
+        counts = [F.bit_count(a["sketch"][f"w{k}"].bitwiseAND(F.bitwise_not(b["sketch"][f"w{k}"]))) for k in range(SKETCH)]
+        return sum(counts[1:], counts[0])
+
+    most = F.least(x["n"] - lacks(x, y), y["n"] - lacks(y, x))
+    return most * 100 >= (x["n"] + y["n"] - most) * percent
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (64-bit hash of the text), line_no (from 0) and the normal form of every line that has a word."""
     return (
@@ -113,10 +142,13 @@ def line_groups(docs: DataFrame, percent: int = PERCENT, set_of=word_start_set)
         right = rows.groupBy("key", "block").agg(F.collect_list("x").alias("ys")).select("key", "ys")
 
         def with_sets(xs: str) -> Column:
-            return F.transform(xs, lambda x: F.struct(x["node"].alias("node"), x["c"].alias("c"), set_of(x["line"]).alias("set")))
+            def one_with(x: Column) -> Column:
+                return let(set_of(x["line"]), lambda v: F.struct(x["node"].alias("node"), x["c"].alias("c"), v.alias("set"), F.size(v).alias("n"), sketch(v).alias("sketch")))
+
+            return F.transform(xs, one_with)
 
         def against(x: Column, ys: Column) -> Column:
-            near = F.filter(ys, lambda y: (x["c"] != y["c"]) & alike(x["set"], y["set"], percent))
+            near = F.filter(ys, lambda y: (x["c"] != y["c"]) & may_be_alike(x, y, percent) & alike(x["set"], y["set"], percent))
             return F.transform(near, lambda y: F.struct(F.greatest(x["node"], y["node"]).alias("a"), F.least(x["node"], y["node"]).alias("b")))
 
         links = left.join(right, "key").select(F.explode(let(with_sets("ys"), lambda ys: F.flatten(F.transform(with_sets("xs"), lambda x: against(x, ys))))).alias("l")).select("l.a", "l.b").distinct()
