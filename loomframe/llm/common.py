@@ -31,6 +31,11 @@ def words_of(text: Column) -> Column:
     )
 
 
+def text_keys(column: str) -> dict[str, Column]:
+    """Two 64-bit hashes that stand for a text: 128 bits, which don't collide at any size of corpus."""
+    return {"h1": F.xxhash64(column), "h2": F.xxhash64(F.lit(7), column)}
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -82,6 +87,9 @@ def _forget(spark: SparkSession, path: str) -> None:
         return
 
 
+_tables: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """The rows written to the shared folder and read again: lineage ends there, and a lost executor loses nothing.
 
@@ -90,6 +98,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
+    _tables.append(path)
     atexit.register(_forget, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loomframe_path = path
@@ -99,10 +108,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Removes what ``materialize`` wrote, and lets Spark drop the shuffle files that only it needed."""
     path = getattr(df, "_loomframe_path", None)
-    if path:
+    if path in _tables:
+        _tables.remove(path)
         _delete(df.sparkSession, path)
 
 
+def tables() -> list[str]:
+    """What ``materialize`` has written and nothing has discarded."""
+    return list(_tables)
+
+
+def sweep(spark: SparkSession, keep: list[str]) -> None:
+    """Discards all tables but these: what an operator's result was read from, once that result is a table of its own."""
+    for path in set(_tables) - set(keep):
+        _tables.remove(path)
+        _delete(spark, path)
+    release(spark)
+
+
 def release(spark: SparkSession) -> None:
     """Shuffle files of finished jobs go only when the driver collects its garbage."""
     gc.collect()
@@ -152,53 +175,109 @@ def _state(links: DataFrame) -> tuple:
     return r[0], r[1]
 
 
-def banded_components(members: DataFrame, verify, name: str, compare=None) -> DataFrame:
-    """(node, component) for the nodes that are linked through the keys they share.
+def _stars(members: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) with a > b of each key's nodes with one of them, and (key, node, b) with that one of the keys of three nodes and more.
 
-    members: distinct rows (key, node), already materialized. verify: of rows (a, b) gives a materialized table of those
-    that are links. The nodes of a key are compared with one of them, the most popular: the one whose keys have the most
-    nodes in all, as an original has against its altered copies, which are often too far from each other. That is one
-    pair for each member, never all pairs. What is linked then, through whatever keys, is one component. Only nodes of a
-    key that are still in different components are compared pair by pair, all of them; so no link between two
-    components is left out, and a large group of copies costs a pair for each member and key. compare, if given, does this
-    last step its own way: from rows (key, node, c, main), of which those with c <> main are to be compared with all others
-    of their key and of another c, it gives a materialized table of links.
+    The one is the most popular: whose keys have the most nodes in all, as an original has against its altered copies,
+    which are often too far from each other.
     """
     counts = members.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     counts = materialize(counts, f"{name}-counts")
     several = materialize(members.join(counts.where("n > 2").select("key", "n"), "key"), f"{name}-several")
+    release(members.sparkSession)
     fame = several.groupBy("node").agg(F.sum("n").alias("fame"))
-    known = several.select("key", "node").join(fame, "node")
-    middle = known.groupBy("key").agg(F.max(F.struct("fame", (-F.col("node")).alias("m"))).alias("x")).select("key", (-F.col("x.m")).alias("b"))
+    best = F.max_by(F.col("node"), F.struct("fame", -F.col("node"))).alias("b")
+    middle = materialize(several.select("key", "node").join(fame, "node").groupBy("key").agg(best), f"{name}-middle")
     busy = materialize(several.select("key", "node").join(middle, "key"), f"{name}-busy")
-    discard(several)
-    release(members.sparkSession)
     spokes = busy.where("node <> b").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
     pairs = materialize(counts.where("n = 2").select("a", "b").unionByName(spokes).distinct(), f"{name}-pairs")
-    discard(counts)
-    links = verify(pairs)
-    discard(pairs)
+    for table in (counts, several, middle):
+        discard(table)
     release(members.sparkSession)
-    groups = materialize(connected_components(links, name), name)
+    return pairs, busy
+
+
+def _apart(busy: DataFrame, groups: DataFrame, name: str) -> DataFrame:
+    """(key, node, c, main) of the keys whose nodes are in several components: a node's own and that of the key's one."""
     named = busy.join(groups.withColumnRenamed("component", "c"), "node", "left").select("key", "b", "node", F.coalesce("c", "node").alias("c"))
     named = materialize(named, f"{name}-named")
-    split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.when(F.col("node") == F.col("b"), F.col("c"))).alias("main")).where("lo <> hi")
-    apart = materialize(named.where("node <> b").join(split.select("key", "main"), "key"), f"{name}-apart")
+    main = F.max(F.when(F.col("node") == F.col("b"), F.col("c"))).alias("main")
+    split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), main).where("lo <> hi")
+    split = materialize(split.select("key", "main"), f"{name}-split")
+    out = materialize(named.join(split, "key").select("key", "node", "c", "main"), f"{name}-apart")
+    discard(named)
+    discard(split)
+    return out
+
+
+def banded_components(members: DataFrame, verify, name: str) -> DataFrame:
+    """(node, component) for the nodes that are linked through the keys they share.
+
+    members: distinct rows (key, node). verify: of rows (a, b) gives a materialized table of those that are links.
+    The nodes of a key are compared with one of them: one pair for each member, never all pairs of a group. What is
+    linked then, through whatever keys, is one component. Nodes of a key that are still apart meet again in finer groups,
+    by the pairs of keys that they share, and are compared with one of each in the same way. What even these leave apart,
+    nodes that share two keys with others but are alike to none that they were compared with, is compared with all of its
+    finer group. So the work follows the members, and a link is lost only if its nodes share fewer than two keys and
+    nothing else joins them.
+    """
+    spark = members.sparkSession
+    pairs, busy = _stars(members, name)
+    links = verify(pairs)
+    groups = materialize(connected_components(links, name), name)
+    apart = _apart(busy, groups, name)
+    discard(busy)
     if apart.isEmpty():
-        more = None
-    elif compare:
-        more = compare(apart)
-    else:
-        strays = apart.where("c <> main").select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
-        rest = strays.join(apart.select("key", F.col("node").alias("y"), F.col("c").alias("cy")), "key").where("cx <> cy")
-        rest = materialize(rest.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), f"{name}-rest")
-        more = None if rest.isEmpty() else verify(rest)
+        for table in (pairs, apart, links):
+            discard(table)
+        return groups
+    some = apart.select("node").distinct()
+    known = materialize(members.join(some, "node", "left_semi"), f"{name}-known")
+    twice = known.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    other = known.join(twice, "key", "left_semi").select(F.col("key").alias("other"), "node")
+    both = apart.select("key", "node").join(other, "node").where("key <> other")
+    finer = materialize(both.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node").distinct(), f"{name}-finer")
+    discard(apart)
+    release(spark)
+
+    def between(found: DataFrame) -> DataFrame:
+        """Pairs of different components that haven't been compared."""
+        a, b = (groups.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+        new = found.join(pairs, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
+        return new.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+    def join(more: DataFrame) -> None:
+        nonlocal links, groups, pairs
+        found = verify(more)
+        if not found.isEmpty():
+            old = groups, links
+            links = materialize(links.unionByName(found), f"{name}-links")
+            groups = materialize(connected_components(links, name), name)
+            for table in old:
+                discard(table)
+        discard(found)
+        old = pairs
+        pairs = materialize(pairs.unionByName(more), f"{name}-pairs")
+        discard(old)
+        discard(more)
+
+    stars, busy = _stars(finer, name)
+    more = materialize(between(stars), f"{name}-more")
+    discard(stars)
+    join(more)
+    apart = _apart(busy, groups, name)
+    discard(busy)
+    strays = apart.where("c <> main").select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
+    rest = strays.join(apart.select("key", F.col("node").alias("y"), F.col("c").alias("cy")), "key").where("cx <> cy")
+    rest = rest.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    rest = materialize(rest, f"{name}-rest")
+    if rest.isEmpty():
         discard(rest)
-    if more is not None and not more.isEmpty():
-        groups = materialize(connected_components(links.unionByName(more), name), name)
-    for table in (busy, named, apart):
+    else:
+        join(rest)
+    for table in (apart, finer, pairs, links, known):
         discard(table)
-    release(members.sparkSession)
+    release(spark)
     return groups
 
 

@@ -2,60 +2,42 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import BLANKS, banded_components, discard, documents, let, materialize, nodes_of, release
+from loomframe.llm.common import BLANKS, banded_components, discard, documents, let, materialize, nodes_of, release, text_keys
 
-#: Candidates: shingles of so many characters from each word's start and, after RUN characters without a blank, from
-#: every character; the least so many of their hashes are the bands.
-ANCHORED, BANDS, RUN = 20, 4, 12
-#: Lines of fewer than MIDDLE characters have as many bands from every character besides. Those of fewer than 24 that are
-#: alike share SHORT characters at least: these, if there are so many, are bands of theirs.
-SHORT, SHORT_LINE, MIDDLE = 11, 24, 48
-#: Words of 64 bits of a set's sketch.
-SKETCH = 4
-#: Verification: the shingles of so many characters from every character; a shorter line is one.
-CHARS, PERCENT = 8, 80
-#: Nodes of a key that are still apart are compared in blocks of about so many.
-BLOCK = 128
+#: Shingles: so many characters from every character; a shorter line is one. In UTF-32 a character has WIDTH bytes, so
+#: that a shingle is cut out of a line in constant time.
+CHARS, PERCENT, WIDTH = 8, 80, 4
+#: Each band is three of 2 * BANDS MinHash slots: one of its own and two that it shares with the bands before and after it.
+#: A pair of similarity 0.8 shares none with a chance of 0.4 %, one of 0.9 with 1 in 10,000.
+BANDS = 10
+#: So many shingles go through the slots in one row.
+STRIDE = 4
+_RANDOM = random.Random(20)
+_SLOTS = [_RANDOM.getrandbits(64) - (1 << 63) for _ in range(2 * BANDS)]
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.btrim(line, F.lit(BLANKS)))
-
-
-def shingles(line: Column, n: int) -> Column:
-    """Distinct hashes of the shingles of n characters from every character; none for a shorter line."""
-    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))
-
-
-def least(hashes: Column) -> Column:
-    return F.slice(F.sort_array(hashes), 1, BANDS)
-
-
-def signature(line: Column) -> Column:
-    """The least ``BANDS`` distinct hashes of the line's anchored shingles, and of all of them where the line isn't long: a
-    MinHash by bottom-k, one band for each hash.
-
-    Two lines that share a part j of these shingles have no band in common with a chance of (1 - j) ** BANDS at most.
-    """
-    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?:(?<!\S)|(?<=\S{{{RUN}}}))(?=(\S.{{{ANCHORED - 1}}}))"), F.lit(1))
-    anchored = least(F.array_distinct(F.transform(found, lambda x: F.xxhash64(x))))
-    n = F.length(line)
-    more = F.when(n < SHORT_LINE, F.concat(least(shingles(line, SHORT)), least(shingles(line, ANCHORED)))).otherwise(least(shingles(line, ANCHORED)))
-    return F.when(n < MIDDLE, F.array_distinct(F.concat(anchored, more))).otherwise(anchored)
+    """Lower case, without outer blanks; lines without any, most of them, aren't searched for them."""
+    blank = F.lit(False)
+    for c in BLANKS:
+        blank = blank | line.startswith(c) | line.endswith(c)
+    return F.lower(F.when(blank, F.btrim(line, F.lit(BLANKS))).otherwise(line))
 
 
 def shingle_set(line: Column) -> Column:
-    return F.when(F.length(line) < CHARS, F.array(F.xxhash64(line))).otherwise(shingles(line, CHARS))
+    """Distinct hashes of the shingles from every character."""
+    size = CHARS * WIDTH
 
+    def of(code: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.octet_length(code) - size + 1, F.lit(1)), F.lit(WIDTH))
+        return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.substring(code, i, F.lit(size)))))
 
-def word_start_set(line: Column) -> Column:
-    """Only the shingles from word starts, shorter at the line's end: what follows a word's 8th character is in none."""
-    found = F.regexp_extract_all(line, F.lit(rf"(?<!\S)(?=(\S.{{0,{CHARS - 1}}}))"), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))
+    return let(F.encode(line, "UTF-32"), of)
 
 
 def alike(x: Column, y: Column, percent: int) -> Column:
@@ -65,104 +47,84 @@ def alike(x: Column, y: Column, percent: int) -> Column:
     return F.when(F.least(m, n) * 100 >= F.greatest(m, n) * percent, shared).otherwise(F.lit(False))
 
 
-def sketch(x: Column) -> Column:
-    """A set as a bitmap: each hash sets one of 64 * SKETCH bits."""
-
-    def word(k: int) -> Column:
-        bits = F.transform(F.filter(x, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(SKETCH - 1)) == k), lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))
-        return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-
-    return F.struct(*[word(k).alias(f"w{k}") for k in range(SKETCH)])
-
-
-def may_be_alike(x: Column, y: Column, percent: int) -> Column:
-    """False only where the sketches show that ``alike`` is: a bit that one set lacks is an element of the other it lacks."""
-
-    def lacks(a: Column, b: Column) -> Column:
-        counts = [F.bit_count(a["sketch"][f"w{k}"].bitwiseAND(F.bitwise_not(b["sketch"][f"w{k}"]))) for k in range(SKETCH)]
-        return sum(counts[1:], counts[0])
-
-    most = F.least(x["n"] - lacks(x, y), y["n"] - lacks(y, x))
-    return most * 100 >= (x["n"] + y["n"] - most) * percent
-
-
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key (64-bit hash of the text), line_no (from 0) and the normal form of every line that has a word."""
+    """doc_id, text_key (64-bit hash of the text), line_no (from 0), the normal form of every line that has a word, and its 128-bit hash (h1, h2)."""
     return (
         docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
         .select("doc_id", "text_key", "line_no", normal(F.col("raw")).alias("line"))
         .where("line <> ''")
+        .withColumns(text_keys("line"))
     )
 
 
-def line_groups(docs: DataFrame, percent: int = PERCENT, set_of=word_start_set) -> DataFrame:
+def signatures(lines: DataFrame) -> DataFrame:
+    """h1, h2, n (how often it comes) and the band keys of every different line.
+
+    Shingles are rows of generated code, not arrays: a slot is the least of their hashes after an exclusive or with its
+    own constant, which is a permutation; an aggregate with partial sums takes it and brings equal lines together.
+    """
+    size = CHARS * WIDTH
+    last = F.octet_length("code") - size + 1
+    starts = F.sequence(F.lit(1), F.greatest(last, F.lit(1)), F.lit(WIDTH * STRIDE))
+    rows = lines.select("h1", "h2", F.encode("line", "UTF-32").alias("code")).select("h1", "h2", "code", F.explode(starts).alias("i"))
+
+    def shingle(k: int) -> Column:
+        at = F.col("i") + k * WIDTH
+        hashed = F.xxhash64(F.substring(F.col("code"), at, F.lit(size)))
+        return (F.when(at <= last, hashed) if k else hashed).alias(f"x{k}")
+
+    rows = rows.select("h1", "h2", "i", *[shingle(k) for k in range(STRIDE)])
+    slots = [F.min(F.least(*[F.col(f"x{k}").bitwiseXOR(F.lit(c)) for k in range(STRIDE)])).alias(f"s{j}") for j, c in enumerate(_SLOTS)]
+    found = rows.groupBy("h1", "h2").agg(F.count(F.when(F.col("i") == 1, 1)).alias("n"), *slots)
+    keys = [F.xxhash64(F.lit(b), f"s{b}", f"s{BANDS + b}", f"s{BANDS + (b + 1) % BANDS}") for b in range(BANDS)]
+    return found.select("h1", "h2", "n", F.array(*keys).alias("keys"))
+
+
+def line_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_key, line_no, first_doc_id, first_line_no and kept for every line that has a copy or near copy.
 
-    Every line with a word counts, however short. Lines are compared without case and outer blanks. Equal lines are one
-    node from the start (by a 64-bit hash), and those of fewer than SHORT characters are met by that alone. Nodes
-    that share a band are compared by ``banded_components``; a link is a Jaccard similarity of the lines'
-    sets of ``percent`` hundredths or more: set_of is shingle_set (every character; the query and the stage) or the
-    coarser word_start_set. Of each component the first line stays: least doc_id, then
-    least line_no, then least text_key (which counts where ids are null or repeat with other texts).
+    Every line with a word counts, however short or long. Lines are compared without case and outer blanks. Equal lines
+    are one node from the start (by a 128-bit hash). Nodes that share a band are compared by ``banded_components``; a link
+    is a Jaccard similarity of the lines' full sets of 8-character shingles of ``percent`` hundredths or more. Of each
+    component the first line stays: least doc_id, then least line_no, then least text_key (which counts where ids are null
+    or repeat with other texts).
 
     Null and empty texts have no lines. Rows with the same doc_id and text are one document: their lines are alike, and
     repeats between them don't count. A null doc_id comes first. Other columns are ignored; an empty table gives no rows.
     """
+    spark = docs.sparkSession
     lines = lines_of(docs)
-    nodes = lines.select(F.xxhash64("line").alias("node"), "doc_id", "text_key", "line_no", signature(F.col("line")).alias("sig"))
-    placed = F.struct("doc_id", "line_no", "text_key")
-    at = materialize(nodes, "line-nodes")
-    one = at.groupBy("node").agg(F.min(F.struct("doc_id", "line_no", "text_key", "sig")).alias("o"))
-    one = materialize(one.select("node", "o.*"), "line-one")
-    release(docs.sparkSession)
-    members = materialize(one.select("node", F.explode("sig").alias("key")), "line-members")
-
-    kept: list[DataFrame] = []
+    one = materialize(signatures(lines).withColumn("node", F.monotonically_increasing_id()), "line-one")
+    release(spark)
+    placed: list[DataFrame] = []
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """The text comes from each node's first line; only the lines of nodes in pairs are kept, and met by pair."""
-        wanted = one.select("node", F.col("doc_id").alias("_d"), F.col("line_no").alias("_l"), F.col("text_key").alias("_t")).join(nodes_of(pairs), "node", "left_semi")
-        here = (F.xxhash64("line") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line_no") == F.col("_l")) & (F.col("text_key") == F.col("_t"))
-        texts = lines.join(wanted, here).groupBy("node").agg(F.min("line").alias("line"))
-        texts = materialize(texts, "line-texts")
-        kept.append(texts)
-        release(docs.sparkSession)
-        a = texts.select(F.col("node").alias("a"), F.col("line").alias("la"))
-        b = texts.select(F.col("node").alias("b"), F.col("line").alias("lb"))
-        near = let(set_of(F.col("la")), lambda x: let(set_of(F.col("lb")), lambda y: alike(x, y, percent)))
-        return materialize(pairs.join(b, "b").join(a, "a").where(near).select("a", "b"), "line-links")
-
-    def compare(apart: DataFrame) -> DataFrame:
-        """In blocks: the nodes of a key in parts of some BLOCK, each part of strays against each part of all."""
-        number = apart.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).alias("block")
-        rows = apart.join(kept[0], "node").join(number, "key").select("key", block, F.struct("node", "c", "line").alias("x"), (F.col("c") != F.col("main")).alias("stray"))
-        rows = materialize(rows, "line-rows")
-        left = rows.where("stray").groupBy("key", "block").agg(F.collect_list("x").alias("xs")).select("key", "xs")
-        right = rows.groupBy("key", "block").agg(F.collect_list("x").alias("ys")).select("key", "ys")
-
-        def with_sets(xs: str) -> Column:
-            def one_with(x: Column) -> Column:
-                return let(set_of(x["line"]), lambda v: F.struct(x["node"].alias("node"), x["c"].alias("c"), v.alias("set"), F.size(v).alias("n"), sketch(v).alias("sketch")))
-
-            return F.transform(xs, one_with)
-
-        def against(x: Column, ys: Column) -> Column:
-            near = F.filter(ys, lambda y: (x["c"] != y["c"]) & may_be_alike(x, y, percent) & alike(x["set"], y["set"], percent))
-            return F.transform(near, lambda y: F.struct(F.greatest(x["node"], y["node"]).alias("a"), F.least(x["node"], y["node"]).alias("b")))
-
-        links = left.join(right, "key").select(F.explode(let(with_sets("ys"), lambda ys: F.flatten(F.transform(with_sets("xs"), lambda x: against(x, ys))))).alias("l")).select("l.a", "l.b").distinct()
-        links = materialize(links, "line-links")
-        discard(rows)
+        """The first pairs have all nodes that any have: one more pass over the lines finds their texts, and where repeated lines are."""
+        if not placed:
+            paired = nodes_of(pairs).withColumn("paired", F.lit(True))
+            wanted = one.select("h1", "h2", "node", "n").join(paired, "node", "left").where("n > 1 or paired").select("h1", "h2", "node", "paired")
+            found = lines.join(wanted.hint("shuffle_hash"), ["h1", "h2"])
+            placed.append(materialize(found.select("node", "doc_id", "text_key", "line_no", F.when(F.col("paired"), F.col("line")).alias("line")), "line-places"))
+            release(spark)
+            placed.append(materialize(placed[0].where("line is not null").select("node", "line").dropDuplicates(["node"]), "line-texts"))
+            release(spark)
+        a, b = (placed[1].select(F.col("node").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
+        near = let(shingle_set(F.col("la")), lambda x: let(shingle_set(F.col("lb")), lambda y: alike(x, y, percent)))
+        links = materialize(pairs.join(b, "b").join(a, "a").where(near).select("a", "b"), "line-links")
+        release(spark)
         return links
 
-    groups = banded_components(members, verify, "line-groups", compare)
-    for table in kept:
-        discard(table)
+    groups = banded_components(one.select("node", F.explode("keys").alias("key")), verify, "line-groups")
+    places, texts = placed
+    discard(texts)
     discard(one)
-    discard(members)
-    named = at.select("node", "doc_id", "text_key", "line_no").join(groups, "node", "left").select(F.coalesce("component", "node").alias("group"), "doc_id", "text_key", "line_no")
-    first = named.groupBy("group").agg(F.min(placed).alias("first"), F.max(placed).alias("last")).where("first <> last or (first is null) <> (last is null)")
+    named = places.select("node", "doc_id", "text_key", "line_no").join(groups, "node", "left")
+    named = materialize(named.select(F.coalesce("component", "node").alias("group"), "doc_id", "text_key", "line_no"), "line-named")
+    discard(places)
+    discard(groups)
+    place = F.struct("doc_id", "line_no", "text_key")
+    first = named.groupBy("group").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last or (first is null) <> (last is null)")
+    first = materialize(first.select("group", "first"), "line-first")
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no")) & (F.col("text_key") == F.col("first.text_key"))
     return named.join(first, "group").select(
         "doc_id",
@@ -175,28 +137,33 @@ def line_groups(docs: DataFrame, percent: int = PERCENT, set_of=word_start_set)
 
 
 def drop_lines(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Documents without the lines that aren't kept; those without a word left go. n_chars follows the text."""
-    gone = groups.where("not kept").groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(F.collect_set(F.col("line_no").cast("int")).alias("_gone"))
-    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_key")), "left")
+    """Documents without the lines that aren't kept; those without a word left go. n_chars follows the text.
+
+    Lines go by doc_id and text. Columns may have any names; null and empty texts stay as they are.
+    """
+    gone = groups.where("not kept").groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.collect_set(F.col("line_no").cast("int")).alias("gone"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    both = rows.join(gone, F.col("row.doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("row.text") == F.col("k")), "left")
     left = let(
-        F.split("text", "\n"),
-        lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda i: x[i]), "\n"),
+        F.split("row.text", "\n"),
+        lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: x[i]), "\n"),
     )
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)
-    out = both.withColumn("text", text).where(F.col("_gone").isNull() | (F.btrim("text", F.lit(BLANKS)) != ""))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    both = both.select("row", "gone", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(left).alias("left"))
+    both = both.where(F.col("gone").isNull() | (F.btrim("left", F.lit(BLANKS)) != ""))
+    n_chars = F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length("left").cast("long")) if "n_chars" in docs.columns else None
+    new = {"text": F.col("left"), "n_chars": n_chars}
+    return both.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of lines only the first stays."""
-    return drop_lines(docs, line_groups(docs, set_of=shingle_set))
+    """Pipeline stage: of each group of lines only the first stays; see ``line_groups`` and ``drop_lines`` for nulls, empty
+    and very long texts, ties, repeated rows, empty tables and other columns."""
+    return drop_lines(docs, line_groups(docs))
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of documents that repeats, and whether it stays."""
-    return line_groups(documents(spark, sf_dir), set_of=shingle_set).drop("text_key")
+    """Every line of documents that repeats, and whether it stays; see ``line_groups``."""
+    return line_groups(documents(spark, sf_dir)).drop("text_key")
 
 
 QUERIES = {"op2_lines": op2_lines}
