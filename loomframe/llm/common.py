@@ -8,9 +8,10 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but blank, tab, line feed, vertical tab, form feed and carriage return.
@@ -90,21 +91,28 @@ def _forget(spark: SparkSession, path: str) -> None:
 _tables: list[str] = []
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, *seen: Column) -> DataFrame:
     """The rows written to the shared folder and read again: lineage ends there, and a lost executor loses nothing.
 
-    The files go when the Python process ends; ``discard`` removes them earlier.
+    The files go when the Python process ends; ``discard`` removes them earlier. seen: aggregates of the rows, by name, which
+    are made as they are written, for ``seen_in``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    found = Observation() if seen else None
+    (df.observe(found, *seen) if found else df).write.option("compression", "zstd").parquet(path)
     _tables.append(path)
     atexit.register(_forget, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loomframe_path = path
+    out._loomframe_seen = found.get if found else {}
     return out
 
 
+def seen_in(table: DataFrame) -> dict:
+    return table._loomframe_seen
+
+
 def discard(df: DataFrame) -> None:
     """Removes what ``materialize`` wrote, and lets Spark drop the shuffle files that only it needed."""
     path = getattr(df, "_loomframe_path", None)
@@ -140,10 +148,10 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     with a third of all links is never gathered in one task. Links stay in tables of the shared folder; only two
     numbers for each step reach the driver. Self links and nulls are ignored; no links give no rows.
     """
+    state = F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")
     links = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v")
-    links = materialize(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
-    state = _state(links)
-    while state[0]:
+    links = materialize(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name, *state)
+    while seen_in(links)["n"]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
         large = (
@@ -153,28 +161,21 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
             .where("u <> v")
             .distinct()
         )
-        large = materialize(large, name)
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c")
         small = large.join(least, F.col("u") == F.col("c")).select(
             F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
         )
-        new = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), name)
-        discard(large)
+        new = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), name, *state)
         discard(links)
-        before, state, links = state, _state(new), new
-        release(edges.sparkSession)
-        if state == before:
+        before, links = links, new
+        if seen_in(before) == seen_in(links):
             break
+    release(edges.sparkSession)
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
 
 
-def _state(links: DataFrame) -> tuple:
-    r = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return r[0], r[1]
-
-
 def _stars(members: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) with a > b of each key's nodes with one of them, and (key, node, b) with that one of the keys of three nodes and more.
 
@@ -210,76 +211,93 @@ def _apart(busy: DataFrame, groups: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def banded_components(members: DataFrame, verify, name: str) -> DataFrame:
+#: A sketch has LANES slots of a signature, a byte each, in words of seven bytes: the eighth stays free, so that sums don't overflow.
+WORDS, LANES = 9, 63
+_ONES = sum(1 << 8 * k for k in range(7))
+#: Groups of a key whose nodes are still apart and more than so many meet again in finer groups first.
+SMALL = 256
+
+
+def equal_lanes(x: str, y: str) -> Column:
+    """How many lanes of two sketches are equal: those whose bytes of the exclusive or are 0."""
+    n = F.lit(LANES)
+    for w in range(WORDS):
+        v = F.col(f"{x}{w}").bitwiseXOR(F.col(f"{y}{w}"))
+        some = (v.bitwiseAND(F.lit(_ONES * 0x7F)) + F.lit(_ONES * 0x7F)).bitwiseOR(v).bitwiseAND(F.lit(_ONES * 0x80))
+        n = n - F.bit_count(some)
+    return n
+
+
+def least_lanes(percent: int) -> int:
+    """So many lanes at least are equal for a pair of this similarity, but for a chance of 1 in 10,000 (four standard deviations)."""
+    p = percent / 100 + (1 - percent / 100) / 256
+    return int(LANES * p - 4 * (LANES * p * (1 - p)) ** 0.5)
+
+
+def banded_components(members: DataFrame, verify, compare, name: str) -> DataFrame:
     """(node, component) for the nodes that are linked through the keys they share.
 
-    members: distinct rows (key, node). verify: of rows (a, b) gives a materialized table of those that are links.
+    members: distinct rows (key, node). verify: of rows (a, b) gives a materialized table of those that are links. compare:
+    of rows (key, node, c, main) a materialized table of links (a, b) between components: it must find, in some key, every two
+    linked nodes of different c of which one isn't of its key's component ``main``; b may be any node of the component.
+
     The nodes of a key are compared with one of them: one pair for each member, never all pairs of a group. What is
-    linked then, through whatever keys, is one component. Nodes of a key that are still apart meet again in finer groups,
-    by the pairs of keys that they share, and are compared with one of each in the same way. What even these leave apart,
-    nodes that share two keys with others but are alike to none that they were compared with, is compared with all of its
-    finer group. So the work follows the members, and a link is lost only if its nodes share fewer than two keys and
-    nothing else joins them.
+    linked then, through whatever keys, is one component. Where nodes of a key are still apart and it has many, they meet
+    again in finer groups, by the pairs of keys that they share, and are compared with one of each in the same way. Only what
+    is apart even then is left to ``compare``.
     """
     spark = members.sparkSession
     pairs, busy = _stars(members, name)
     links = verify(pairs)
     groups = materialize(connected_components(links, name), name)
     apart = _apart(busy, groups, name)
-    discard(busy)
     if apart.isEmpty():
-        for table in (pairs, apart, links):
+        for table in (pairs, busy, apart, links):
             discard(table)
         return groups
-    some = apart.select("node").distinct()
-    known = materialize(members.join(some, "node", "left_semi"), f"{name}-known")
-    twice = known.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    other = known.join(twice, "key", "left_semi").select(F.col("key").alias("other"), "node")
-    both = apart.select("key", "node").join(other, "node").where("key <> other")
-    finer = materialize(both.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node").distinct(), f"{name}-finer")
-    discard(apart)
-    release(spark)
 
-    def between(found: DataFrame) -> DataFrame:
-        """Pairs of different components that haven't been compared."""
-        a, b = (groups.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-        new = found.join(pairs, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
-        return new.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    def join(more: DataFrame) -> None:
-        nonlocal links, groups, pairs
-        found = verify(more)
-        if not found.isEmpty():
-            old = groups, links
-            links = materialize(links.unionByName(found), f"{name}-links")
+    def joined(new: DataFrame) -> None:
+        nonlocal links, groups
+        old = [new]
+        if not new.isEmpty():
+            old += [links, groups]
+            links = materialize(links.unionByName(new), f"{name}-links")
             groups = materialize(connected_components(links, name), name)
-            for table in old:
-                discard(table)
-        discard(found)
-        old = pairs
-        pairs = materialize(pairs.unionByName(more), f"{name}-pairs")
-        discard(old)
-        discard(more)
-
-    stars, busy = _stars(finer, name)
-    more = materialize(between(stars), f"{name}-more")
-    discard(stars)
-    join(more)
-    apart = _apart(busy, groups, name)
-    discard(busy)
-    strays = apart.where("c <> main").select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
-    rest = strays.join(apart.select("key", F.col("node").alias("y"), F.col("c").alias("cy")), "key").where("cx <> cy")
-    rest = rest.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    rest = materialize(rest, f"{name}-rest")
-    if rest.isEmpty():
-        discard(rest)
-    else:
-        join(rest)
-    for table in (apart, finer, pairs, links, known):
+        for table in old:
+            discard(table)
+        release(spark)
+
+    sizes = apart.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    large = materialize(apart.join(sizes.where(F.col("n") > SMALL).select("key"), "key", "left_semi").select("key", "node"), f"{name}-large")
+    finer = None
+    if not large.isEmpty():
+        keys = materialize(members.join(large.select("node").distinct(), "node", "left_semi"), f"{name}-keys")
+        twice = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+        both = large.join(keys.join(twice, "key", "left_semi").select(F.col("key").alias("other"), "node"), "node").where("key <> other")
+        both = materialize(both.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node").distinct(), f"{name}-finer")
+        stars, finer = _stars(both, f"{name}-finer")
+        more = materialize(_between(stars, groups).join(pairs, ["a", "b"], "left_anti"), f"{name}-more")
+        joined(verify(more))
+        for table in (keys, both, stars, more):
+            discard(table)
+    few = busy.join(large.select("key").distinct(), "key", "left_anti")
+    rest = _apart(few.unionByName(finer) if finer else few, groups, name)
+    for table in (busy, apart, large, pairs, *([finer] if finer else [])):
         discard(table)
+    if not rest.isEmpty():
+        joined(compare(rest))
+    discard(rest)
+    discard(links)
     release(spark)
     return groups
 
 
+def _between(found: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs of different components."""
+    a, b = (groups.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    both = found.join(a, "a", "left").join(b, "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def nodes_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()

@@ -13,19 +13,31 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 #: Runs of hex digits of 24 and more, and AKIA with 16 more: longer matches of the same start, so nothing else changes.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: Candidates of the entropy scan; a lower-case or capitalised word alone never is one.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9a-z+/_=-]*[A-Z]|[0-9a-f]+(?![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{20,}"
+#: Candidates of the entropy scan: all long runs of these characters.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Character classes: name, pattern of the whole candidate, alphabet, least entropy in bits of a character in some window.
+#: The first that fits counts.
 CLASSES = (
-    ("entropy_hex", r"^[0-9a-fA-F]+$", "0123456789abcdef", 3.0),
-    ("entropy_base64", r"^[A-Za-z0-9+/_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.8),
+    ("entropy_hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 3.0),
+    ("entropy_lower", r"^[0-9a-z]+$", _LOWER + _DIGITS, 3.6),
+    ("entropy_letters", r"^[A-Za-z]+$", _UPPER + _LOWER, 3.8),
+    ("entropy_base64", r"^[A-Za-z0-9+/_=-]+$", _UPPER + _LOWER + _DIGITS + "+/_=-", 3.8),
 )
-#: Harmless strings: placeholders, runs and counts, UUIDs, paths.
+#: Harmless strings: placeholders, runs and counts, UUIDs.
 ALLOWED = (
-    r"(?i)example|sample|placeholder|dummy|changeme|your[_-]?|xxxx|0123456789|123456789|abcdef0|deadbeef|"
-    r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^[0-9]+$|^/?(?:[a-z_-]+/)+[a-z_-]*$"
+    r"(?i)example|sample|placeholder|dummy|changeme|your[_-]?|xxxx|0123456789|123456789|abcdef0|abcdefgh|deadbeef|"
+    r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^[0-9]+$"
 )
+#: What paths, slugs and names in code are made of: words in lower or camel case, capitals, short numbers, separators. A
+#: candidate of nothing else is harmless too.
+PLAIN = (
+    r"[A-Z]?[a-z]{2,}(?:[0-9]{1,4}(?![0-9A-Za-z]))?|(?:By|To|Of|In|At|On|Is|As|It|Or|An|If|Id|My|No|Up)(?![a-z])|"
+    r"(?<![A-Za-z0-9])[A-Z]+(?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Za-z]?[0-9]{0,4}(?![A-Za-z0-9])|[-_/=+]"
+)
+#: Matches of a text are placed in blocks of so many: an array that grows is copied with every element.
+BLOCK = 64
 KINDS = ("assign", "access", "hex", *[name for name, *_ in CLASSES])
 
 
@@ -78,22 +90,29 @@ def matches(text: Column, pattern: str, keep=None) -> Column:
     What lies between the matches comes from a split by the same pattern; it is only made where there is a match.
     """
 
-    def placed(found: Column) -> Column:
-        between = F.split(text, pattern, -1)
-        return let(
-            between,
-            lambda gaps: F.aggregate(
-                F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, v: F.struct(F.length(g).alias("g"), v.alias("v"))),
-                F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,v:string>>").alias("out")),
-                lambda a, x: F.struct(
-                    (a["at"] + x["g"] + F.length(x["v"])).alias("at"),
-                    F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("s"), (a["at"] + x["g"] + F.length(x["v"])).alias("e"), x["v"].alias("v")))).alias("out"),
-                ),
-                lambda a: a["out"],
+    none = F.array().cast("array<struct<s:int,e:int,v:string>>")
+
+    def in_block(pieces: Column, at: Column) -> Column:
+        return F.aggregate(
+            pieces,
+            F.struct(at.alias("at"), none.alias("out")),
+            lambda a, x: F.struct(
+                (a["at"] + x["g"] + F.length(x["v"])).alias("at"),
+                F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("s"), (a["at"] + x["g"] + F.length(x["v"])).alias("e"), x["v"].alias("v")))).alias("out"),
             ),
+            lambda a: a["out"],
         )
 
-    none = F.array().cast("array<struct<s:int,e:int,v:string>>")
+    def placed(found: Column) -> Column:
+        def of(pieces: Column) -> Column:
+            blocks = F.transform(F.sequence(F.lit(0), F.size(pieces) - 1, F.lit(BLOCK)), lambda b: F.slice(pieces, b + 1, F.lit(BLOCK)))
+            lengths = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda n, y: n + y["g"] + F.length(y["v"])))
+            starts = F.aggregate(lengths, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+            return let(blocks, lambda x: let(starts, lambda at: F.flatten(F.transform(x, lambda y, k: in_block(y, at[k])))))
+
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+        return let(F.zip_with(gaps, found, lambda g, v: F.struct(F.length(g).alias("g"), v.alias("v"))), of)
+
     out = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda f: F.when(F.size(f) > 0, placed(f)).otherwise(none))
     return F.filter(out, keep) if keep else out
 
@@ -108,10 +127,11 @@ def entropy_spans(text: Column) -> Column:
     def judged(x: Column) -> Column:
         kind = F.lit(-1)
         for k in range(len(CLASSES) - 1, -1, -1):
-            _, pattern, alphabet, least = CLASSES[k]
-            value = F.lower(x["v"]) if alphabet.islower() or alphabet[-1] == "f" else x["v"]
+            name, pattern, alphabet, least = CLASSES[k]
+            value = F.lower(x["v"]) if name == "entropy_hex" else x["v"]
             kind = F.when(x["v"].rlike(pattern), F.when(entropy_peak(value, alphabet) >= least, F.lit(3 + k)).otherwise(F.lit(-1))).otherwise(kind)
-        return F.struct(x["s"].alias("s"), F.when(x["v"].rlike(ALLOWED), F.lit(-1)).otherwise(kind).alias("k"), x["e"].alias("e"))
+        harmless = x["v"].rlike(ALLOWED) | (F.regexp_replace(x["v"], PLAIN, "") == "")
+        return F.struct(x["s"].alias("s"), F.when(harmless, F.lit(-1)).otherwise(kind).alias("k"), x["e"].alias("e"))
 
     return F.filter(F.transform(matches(text, CANDIDATE), judged), lambda x: x["k"] >= 0)
 
@@ -139,8 +159,23 @@ def listed(spans: Column, kinds: int = len(KINDS)) -> Column:
     return F.array_join(F.transform(F.filter(spans, lambda x: x["k"] < kinds), lambda x: F.concat(names[x["k"]], F.lit(":"), x["s"], F.lit(":"), x["e"])), ",")
 
 
+def find_secrets(docs: DataFrame) -> DataFrame:
+    """doc_id and secrets for every row: an array of (kind, start, end, value) by start and kind.
+
+    Null and empty texts have none. Rows don't depend on each other: ties and repeated rows are alike, other columns are
+    ignored, an empty table gives no rows. Whole texts of any length; the work is linear in them.
+    """
+
+    def of(text: Column) -> Column:
+        names = F.array(*[F.lit(k) for k in KINDS])
+        value = lambda x: F.substring(text, x["s"] + 1, x["e"] - x["s"])
+        return F.transform(secret_spans(text), lambda x: F.struct(names[x["k"]].alias("kind"), x["s"].alias("start"), x["e"].alias("end"), value(x).alias("value")))
+
+    return docs.select("doc_id", let(F.coalesce("text", F.lit("")), of).alias("secrets"))
+
+
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets in every document; one pass over the rows, each on its own."""
+    """Secrets in every document, as counts and digests; one pass over the rows, each on its own; see ``find_secrets``."""
 
     def is_kind(k: int):
         return lambda x: x["k"] == k

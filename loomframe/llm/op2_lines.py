@@ -17,6 +17,8 @@ CHARS, PERCENT, WIDTH = 8, 80, 4
 BANDS = 10
 #: So many shingles go through the slots in one row.
 STRIDE = 4
+#: Nodes of a key that are still apart are compared in parts of about so many.
+BLOCK = 64
 _RANDOM = random.Random(20)
 _SLOTS = [_RANDOM.getrandbits(64) - (1 << 63) for _ in range(2 * BANDS)]
 
@@ -61,7 +63,7 @@ def signatures(lines: DataFrame) -> DataFrame:
     """h1, h2, n (how often it comes) and the band keys of every different line.
 
     Shingles are rows of generated code, not arrays: a slot is the least of their hashes after an exclusive or with its
-    own constant, which is a permutation; an aggregate with partial sums takes it and brings equal lines together.
+    own constant, which is a permutation; an aggregate with partial sums takes it.
     """
     size = CHARS * WIDTH
     last = F.octet_length("code") - size + 1
@@ -114,7 +116,43 @@ def line_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         release(spark)
         return links
 
-    groups = banded_components(one.select("node", F.explode("keys").alias("key")), verify, "line-groups")
+    def compare(rest: DataFrame) -> DataFrame:
+        """In blocks: the nodes of a key in parts of some BLOCK, each part with itself and with each other part, so that a node's
+        set is made once for a part and not for each pair. Two nodes are compared in the first key that they share."""
+        every = rest.groupBy("node").agg(F.collect_set("key").alias("keys"))
+        count = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+        one = F.struct("node", "c", (F.col("c") != F.col("main")).alias("stray"), "keys", "line").alias("x")
+        rows = rest.join(placed[1], "node").join(every, "node").join(count, "key")
+        rows = rows.select("key", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), one)
+        parts = materialize(rows.groupBy("key", "parts", "part").agg(F.collect_list("x").alias("xs")), "line-parts")
+        release(spark)
+
+        def with_sets(xs: Column) -> Column:
+            return F.transform(xs, lambda x: F.struct(*[x[k].alias(k) for k in ("node", "c", "stray", "keys")], shingle_set(x["line"]).alias("set")))
+
+        def links(x: Column, ys: Column, same: Column) -> Column:
+            def near(y: Column) -> Column:
+                apart = (x["c"] != y["c"]) & (x["stray"] | y["stray"]) & (~same | (x["node"] < y["node"]))
+                here = F.array_min(F.array_intersect(x["keys"], y["keys"])) == F.col("key")
+                return F.when(apart, F.when(here, alike(x["set"], y["set"], percent)).otherwise(F.lit(False))).otherwise(F.lit(False))
+
+            found = F.array_distinct(F.transform(F.filter(ys, near), lambda y: y["c"]))
+            return F.transform(found, lambda c: F.struct(F.greatest(x["node"], c).alias("a"), F.least(x["node"], c).alias("b")))
+
+        def between(xs: Column, ys: Column, same: Column) -> Column:
+            return F.flatten(F.transform(xs, lambda x: links(x, ys, same)))
+
+        alone = parts.where("parts = 1").select(let(with_sets(F.col("xs")), lambda v: between(v, v, F.lit(True))).alias("links"), "key")
+        left = parts.where("parts > 1").select("key", F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"), "xs")
+        right = parts.where("parts > 1").select("key", F.explode(F.sequence(F.lit(0).cast("long"), "part")).alias("i"), F.col("part").alias("j"), F.col("xs").alias("ys"))
+        crossed = let(with_sets(F.col("xs")), lambda v: let(with_sets(F.col("ys")), lambda w: between(v, w, F.col("i") == F.col("j"))))
+        both = left.join(right, ["key", "i", "j"]).select(crossed.alias("links"), "key")
+        out = alone.select("links").unionByName(both.select("links")).select(F.explode("links").alias("l")).select("l.a", "l.b").distinct()
+        out = materialize(out, "line-links")
+        discard(parts)
+        return out
+
+    groups = banded_components(one.select("node", F.explode("keys").alias("key")), verify, compare, "line-groups")
     places, texts = placed
     discard(texts)
     discard(one)

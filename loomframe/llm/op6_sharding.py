@@ -65,7 +65,7 @@ def shard_documents(docs: DataFrame, weights: Sequence[float], added: float = 1.
         .groupBy("shard", "part", "doc_id", "size", "text_crc32", "grown_shard")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    counts = key.groupBy("to.shard", "part").agg(F.count(F.lit(1)).alias("part_n"))
+    counts = rows.groupBy("shard", "part").agg(F.sum("n").alias("part_n"))  # over the same shuffle as the rows
     first = counts.select(
         "shard", "part", (F.sum("part_n").over(Window.partitionBy("shard").orderBy("part")) - F.col("part_n")).alias("first")
     )

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomframe.llm.common import documents, ship
 
@@ -17,6 +17,10 @@ THRESHOLD = 0.6
 #: How many characters before and after a span may hold a context word.
 REACH = 48
 _CONTEXT = {
+    "email": re.compile(r"(?i)\b(?:e-?mail|contact|write|reply|correo|courriel)\b"),
+    "ip": re.compile(r"(?i)\b(?:ip|address|server|host|login|logged|client)\b"),
+    "card": re.compile(r"(?i)\b(?:card|credit|visa|mastercard|amex|payment|karte|carte|tarjeta)\b"),
+    "phone": re.compile(r"(?i)\b(?:phone|telephone|tel|call|mobile|cell|fax|telefon|t[ée]l[ée]phone|tel[ée]fono)\b"),
     "iban": re.compile(r"(?i)\b(?:iban|account|bank|bic|swift|konto|compte|cuenta|transfer)\b"),
     "ssn": re.compile(r"(?i)\b(?:ssn|social security|tax id|taxpayer)\b"),
     "routing": re.compile(r"(?i)\b(?:routing|aba|rtn|transit)\b"),
@@ -117,11 +121,12 @@ def added_spans(text: str) -> list[tuple[int, int, int, float]]:
 def find_spans(text: str | None) -> list[tuple[int, str, int, float]]:
     """(start, kind, end, score) of all personal data in a whole text, by start and kind; none for null and empty.
 
-    Positions are code points, ends exclusive. Base kinds have score 1. Spans of different kinds may overlap.
+    Positions are code points, ends exclusive. The base kinds stay whatever their score is, which the words nearby give; a card
+    that passes its checksum has more to begin with. Spans of different kinds may overlap.
     """
     if not text:
         return []
-    both = [(s, k, e, 1.0) for s, k, e in base_spans(text)] + added_spans(text)
+    both = [(s, k, e, _score(KINDS[k], 0.65 if k == 2 else 0.6, text, s, e)) for s, k, e in base_spans(text)] + added_spans(text)
     return [(s, KINDS[k], e, p) for s, k, e, p in sorted(both)]
 
 
@@ -137,30 +142,40 @@ def redact(text: str | None) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
     for batch in batches:
-        counts: list[list[int]] = [[], [], [], []]
-        digests, listed = [], []
-        for value in batch.column(1):
-            spans = find_spans(value.as_py())
-            base = [x for x in spans if x[1] in KINDS[:4]]
-            for k in range(4):
-                counts[k].append(sum(x[1] == KINDS[k] for x in base))
-            digests.append(sha256(",".join(f"{k}:{s}:{e}" for s, k, e, _ in base).encode()).hexdigest())
-            listed.append(",".join(f"{k}:{s}:{e}" for s, k, e, _ in spans))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()), pa.array(listed, pa.string())],
-            names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
-        )
+        spans = [[{"kind": k, "start": s, "end": e, "score": round(p, 2)} for s, k, e, p in find_spans(v.as_py())] for v in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=["doc_id", "found"])
+
+
+def personal_data(docs: DataFrame) -> DataFrame:
+    """doc_id and found for every row: an array of (kind, start, end, score) by start and kind, see ``find_spans``.
+
+    Null and empty texts have none. Rows don't depend on each other: ties and repeated rows are alike, an empty table gives
+    no rows, other columns are ignored. Whole texts of any length; every pattern is linear in it. One pass, no shuffle.
+    """
+    ship(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(_found, f"doc_id {kind}, found array<struct<kind:string,start:int,end:int,score:double>>")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data in every document; a null text counts as empty. One pass in Arrow batches, no shuffle."""
-    ship(spark)
-    return (
-        documents(spark, sf_dir)
-        .select("doc_id", "text")
-        .mapInArrow(_digest, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    """Personal data in every document, as counts and digests; see ``personal_data``. scores is parallel to spans."""
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda x: F.concat(x["kind"], F.lit(":"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string"))), ",")
+
+    def is_kind(*kinds: str):
+        return lambda x: x["kind"].isin(*kinds)
+
+    found = personal_data(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter("found", is_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS[:4]],
+        F.sha2(listed(F.filter("found", is_kind(*KINDS[:4]))), 256).alias("base_sha256"),
+        listed(F.col("found")).alias("spans"),
+        F.array_join(F.transform("found", lambda x: F.format_number(x["score"], 2)), ",").alias("scores"),
     )
 
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import BLANKS, banded_components, discard, documents, materialize, nodes_of, release, ship
+from loomframe.llm.common import BLANKS, LANES, WORDS as SKETCH_WORDS, banded_components, discard, documents, equal_lanes, least_lanes, materialize, nodes_of, release, ship
 
 WORDS = 5
 #: 16 bands of 4 slots: a pair of similarity 0.85 shares none with a chance of 7 in a million.
@@ -32,7 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def shingles(text: str | None, n: int = WORDS) -> tuple[np.ndarray, int]:
-    """Sorted distinct 64-bit hashes of the n-word shingles, and a hash of the whole word sequence.
+    """Sorted distinct 64-bit hashes of the n-word shingles, and a 128-bit hash of the whole word sequence.
 
     A-Z are lower-cased. Fewer than n words are one shingle; without words the set is empty and the hash 0.
     """
@@ -40,7 +40,7 @@ def shingles(text: str | None, n: int = WORDS) -> tuple[np.ndarray, int]:
     if not words:
         return np.empty(0, np.uint64), 0
     hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    whole = xxhash.xxh3_64_intdigest(hashed.tobytes(), len(words))
+    whole = xxhash.xxh3_128_intdigest(hashed.tobytes(), len(words))
     if len(words) < n:
         return np.array([xxhash.xxh3_64_intdigest(hashed.tobytes(), 1)], np.uint64), whole
     out = np.zeros(len(words) - n + 1, np.uint64)
@@ -87,20 +87,28 @@ def bands(signatures: np.ndarray, n_bands: int = BANDS, rows: int = ROWS) -> np.
     return mix(out + np.arange(n_bands, dtype=np.uint64) * _MIX[2])
 
 
+def sketches(signatures: np.ndarray) -> np.ndarray:
+    """The lowest bytes of LANES slots in words of seven, for ``equal_lanes``."""
+    lanes = (signatures[:, :LANES] & np.uint64(255)).reshape(len(signatures), SKETCH_WORDS, 7)
+    return (lanes << (np.uint64(8) * np.arange(7, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text_key, n_shingles, class and the band keys of every row (none without words)."""
+    """doc_id, text_key, n_shingles, class (two halves of its hash), the band keys and the sketch of every row (none without words)."""
     for batch in batches:
         found = [shingles(v.as_py()) for v in batch.column(2)]
-        classes = np.array([whole for _, whole in found], np.uint64)
         keys: dict[int, np.ndarray] = {}
+        lanes: dict[int, np.ndarray] = {}
         for some in _portions({whole: s for s, whole in found if len(s)}):
             owner = np.repeat(np.arange(len(some)), [len(s) for _, s in some])
             signatures = superminhash(np.concatenate([s for _, s in some]), owner, len(some))
             keys |= zip([c for c, _ in some], bands(signatures), strict=True)
-        listed = [keys[c].view(np.int64) if c in keys else [] for c in classes.tolist()]
+            lanes |= zip([c for c, _ in some], sketches(signatures), strict=True)
+        halves = [pa.array(np.array([whole >> k & 0xFFFFFFFFFFFFFFFF for _, whole in found], np.uint64).view(np.int64)) for k in (64, 0)]
+        listed = [pa.array([of[whole].view(np.int64) if whole in of else [] for _, whole in found], pa.list_(pa.int64())) for of in (keys, lanes)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([len(s) for s, _ in found], pa.int64()), pa.array(classes.view(np.int64)), pa.array(listed, pa.list_(pa.int64()))],
-            names=["doc_id", "text_key", "n_shingles", "class", "keys"],
+            [batch.column(0), batch.column(1), pa.array([len(s) for s, _ in found], pa.int64()), *halves, *listed],
+            names=["doc_id", "text_key", "n_shingles", "c1", "c2", "keys", "sketch"],
         )
 
 
@@ -142,54 +150,70 @@ def marked(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, text_key (64-bit hash of the text), n_shingles, component_id and kept for every row: components of the texts whose sets of five-word shingles
     have a Jaccard similarity of ``percent`` hundredths or more.
 
-    Texts of the same words are one class from the start (by a 64-bit hash of the word sequence). Signatures find the
+    Texts of the same words are one class from the start (by a 128-bit hash of the word sequence). Signatures find the
     classes to compare (missing a pair in about 100,000 at the threshold; see ``banded_components`` for which pairs of a
     band), full sets confirm the links.
 
     Null, empty and blank texts have no shingles and a component of their own: their doc_id, and kept is true. Repeated
     rows are in the component of their text. Where doc_id is null the row takes no part in the minimum; a component of
     nulls only has a null component_id and keeps one row, of the least text_key. Other columns are ignored; an empty table
-    gives no rows.
+    gives no rows. Very long texts are taken whole: a signature is made of 400,000 shingles at a time.
     """
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     key = F.xxhash64("text").alias("text_key")
-    signed = docs.select("doc_id", key, "text").mapInArrow(_signed, f"doc_id {kind}, text_key long, n_shingles long, class long, keys array<long>")
+    signed = docs.select("doc_id", key, "text").mapInArrow(_signed, f"doc_id {kind}, text_key long, n_shingles long, c1 long, c2 long, keys array<long>, sketch array<long>")
     rows = materialize(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
-    one = rows.where("n_shingles > 0").groupBy("class").agg(F.min(F.struct("text_key", "doc_id", "n_shingles", "keys")).alias("o"))
-    one = materialize(one.select("class", "o.*"), "classes")
-    members = materialize(one.select(F.col("class").alias("node"), F.explode("keys").alias("key")), "members")
-    sizes = one.select("class", "n_shingles")
+    one = rows.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min(F.struct("text_key", "doc_id", "n_shingles", "keys", "sketch")).alias("o"))
+    one = materialize(one.select("c1", "c2", "o.*").withColumn("node", F.monotonically_increasing_id()), "classes")
+    sizes = one.select("node", "n_shingles")
     release(spark)
+    texts: list[DataFrame] = []
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """Only pairs of sets of like sizes need their texts, which come from one row of each class and meet by pair."""
-        a, b = (sizes.select(F.col("class").alias(c), F.col("n_shingles").alias(f"n{c}")) for c in "ab")
+        """Only pairs of sets of like sizes need their texts, which come from one row of each class and meet by pair.
+
+        The first pairs have all nodes that later ones have.
+        """
+        if not texts:
+            wanted = one.select("node", F.col("text_key").alias("k"), F.col("doc_id").alias("d")).join(nodes_of(pairs), "node", "left_semi")
+            source = docs.select("doc_id", key, "text")
+            found = source.join(wanted, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "text")
+            texts.append(materialize(found.dropDuplicates(["node"]), "texts"))
+            release(spark)
+        a, b = (sizes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}")) for c in "ab")
         likely = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
         likely = materialize(likely, "likely")
-        wanted = one.select("class", F.col("text_key").alias("_k"), F.col("doc_id").alias("_d")).join(nodes_of(likely), F.col("class") == F.col("node"), "left_semi")
-        source = docs.select("doc_id", key, "text")
-        text = source.join(wanted, (F.col("text_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("class", "text")
-        text = materialize(text.dropDuplicates(["class"]), "texts")
-        release(spark)
-        left = likely.join(text.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b")
-        both = left.join(text.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+        left = likely.join(texts[0].select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        both = left.join(texts[0].select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
         links = materialize(both.mapInArrow(_verify(percent), "a long, b long"), "links")
         discard(likely)
-        discard(text)
         return links
 
-    groups = banded_components(members, verify, "groups").withColumnRenamed("node", "class")
-    discard(one)
-    discard(members)
-    rows = rows.select("doc_id", "text_key", "n_shingles", "class", "row")
-    least = rows.join(groups, "class", "left").select(
-        "doc_id", "text_key", "n_shingles", "row", F.coalesce("component", "class").alias("group")
-    )
+    def compare(rest: DataFrame) -> DataFrame:
+        """The join of a key's nodes gives only pairs whose sketches are near enough for a link; these are verified on full sets."""
+        words = range(SKETCH_WORDS)
+        rows = materialize(rest.join(one.select("node", "n_shingles", "sketch"), "node"), "rest")
+        x = rows.where("c <> main").select("key", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n_shingles").alias("nx"), *[F.col("sketch")[w].alias(f"x{w}") for w in words])
+        y = rows.select(F.col("key").alias("k"), F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n_shingles").alias("ny"), *[F.col("sketch")[w].alias(f"y{w}") for w in words])
+        near = (F.col("cx") != F.col("cy")) & F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)") & (equal_lanes("x", "y") >= least_lanes(percent))
+        pairs = x.join(y, (F.col("key") == F.col("k")) & near).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+        pairs = materialize(pairs, "rest-pairs")
+        links = verify(pairs)
+        discard(rows)
+        discard(pairs)
+        return links
+
+    groups = banded_components(one.select("node", F.explode("keys").alias("key")), verify, compare, "groups")
+    named = one.select("c1", "c2", "node").join(groups, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("group"))
+    least = materialize(rows.drop("keys", "sketch").join(named, ["c1", "c2"], "left").drop("c1", "c2"), "grouped")
+    for table in (rows, one, groups, *texts):
+        discard(table)
     place = F.struct("text_key", "row")
     nameless = F.min(F.when(F.col("doc_id").isNull(), place)).alias("nameless")
-    smallest = least.where("n_shingles > 0").groupBy("group").agg(F.min("doc_id").alias("smallest"), nameless)
+    smallest = materialize(least.where("n_shingles > 0").groupBy("group").agg(F.min("doc_id").alias("smallest"), nameless), "smallest")
+    release(spark)
     chosen = F.when(F.col("smallest").isNull(), place == F.col("nameless")).otherwise(F.col("doc_id") == F.col("smallest"))
     return least.join(smallest, "group", "left").select(
         "doc_id",
@@ -200,18 +224,28 @@ def marked(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates (similarity 0.8 or more) the document of least doc_id stays.
+def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """Of each group of near-duplicates the rows of least doc_id.
 
-    Rows go by doc_id and text. Of a group without any id one row stays: equal texts of it can't be told apart by these
-    two, so that they are one row from the start, the least by all columns.
+    Rows go by doc_id and text. Null, empty and blank texts stay, and so do repeated rows of one doc_id. Of a group without
+    any id one row stays: equal texts of it can't be told apart by these two, so that they are one row from the start, the
+    least by all columns that have an order. Other columns may have any names; an empty table gives no rows.
     """
-    words = F.btrim(F.coalesce("text", F.lit("")), F.lit(BLANKS)) != ""
-    nameless = docs.where(F.col("doc_id").isNull() & words)
-    one = nameless.groupBy(F.xxhash64("text").alias("_key")).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    docs = docs.where(F.col("doc_id").isNotNull() | ~words).unionByName(one)
-    gone = marked(docs, 80).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    words = F.btrim(F.coalesce("row.text", F.lit("")), F.lit(BLANKS)) != ""
+    nameless = rows.where(F.col("row.doc_id").isNull() & words)
+    ordered = F.struct(*[F.col("row")[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])
+    one = nameless.groupBy(F.xxhash64("row.text").alias("k")).agg(F.min_by("row", ordered).alias("row")).select("row")
+    rows = rows.where(F.col("row.doc_id").isNotNull() | ~words).unionByName(one)
+    gone = marked(rows.select("row.doc_id", "row.text"), percent).where("not kept").select(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).distinct()
+    left = rows.join(gone, F.col("row.doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("row.text") == F.col("k")), "left_anti")
+    return left.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each group of near-duplicates (similarity 0.8 or more) one document stays; see
+    ``drop_near_duplicates`` for nulls, empty and very long texts, ties, repeated rows, empty tables and other columns."""
+    return drop_near_duplicates(docs)
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

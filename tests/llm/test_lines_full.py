@@ -9,7 +9,7 @@ SCHEMA = "doc_id long, text string"
 
 def grouped(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(2)
-    return {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no) for r in op2_lines.line_groups(docs, set_of=op2_lines.shingle_set).collect()}
+    return {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no) for r in op2_lines.line_groups(docs).collect()}
 
 
 def test_lines_are_compared_by_all_characters(spark):

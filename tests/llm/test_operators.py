@@ -106,14 +106,19 @@ def components(sets, percent):
     return {i: find(i) for i in sets}
 
 
+def char_shingles(x, n=8):
+    return {x[k : k + n] for k in range(max(1, len(x) - n + 1))}
+
+
 def test_lines(docs):
+    """Against all pairs of lines, with the shingles from every character."""
     occ = defaultdict(list)
     for i, x in ROWS:
         for k, line in enumerate((x or "").split("\n")):
-            if len(line) >= 24 and len(n := line.strip(" \t\n\x0b\x0c\r").lower()) >= 24:
+            if n := line.strip(" \t\n\x0b\x0c\r").lower():
                 occ[n].append((i, k))
     names = sorted(occ)
-    comp = components({k: {m[1] for m in re.finditer(r"(?<!\S)(?=(\S.{0,7}))", n)} for k, n in enumerate(names)}, 80)
+    comp = components({k: char_shingles(n) for k, n in enumerate(names)}, 80)
     groups = defaultdict(list)
     for k, n in enumerate(names):
         groups[comp[k]] += occ[n]
@@ -129,6 +134,30 @@ def test_lines(docs):
             assert kept[i].text == "\n".join(lines) and (kept[i].n_chars == len(kept[i].text) or len(lines) == len(x.split("\n")))
 
 
+def test_lines_of_dense_groups(spark):
+    """Altered copies that are far from the original but near each other, and many that are just too far: brute force again."""
+    rng = random.Random(12)
+    base = " ".join(rng.choice(VOCAB) + rng.choice(VOCAB) for _ in range(30)).split(" ")
+
+    def altered(words, n):
+        out = list(words)
+        for k in rng.sample(range(len(out)), n):
+            out[k] = rng.choice(VOCAB) + rng.choice(VOCAB)
+        return out
+
+    far = [altered(base, 4) for _ in range(20)]
+    lines = [" ".join(w) for w in [base, *far, *[altered(f, 1) for f in far for _ in range(3)], *[altered(base, 3) for _ in range(60)]]]
+    comp = components({k: char_shingles(x) for k, x in enumerate(lines)}, 80)
+    want = {k for k, c in comp.items() if list(comp.values()).count(c) > 1}
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    for small in (op2_lines.BLOCK, 8):
+        op2_lines.BLOCK, before = small, op2_lines.BLOCK
+        found = {r.doc_id: r.first_doc_id for r in op2_lines.line_groups(rows).collect()}
+        op2_lines.BLOCK = before
+        wrong = [k for k in range(len(lines)) if found.get(k, k) != comp[k]]
+        assert len(wrong) <= 0.02 * len(lines) and set(found) <= want
+
+
 def test_chunks(docs):
     r = got(op3_chunks.repeated_substrings(docs))
     first = {}
