@@ -214,8 +214,6 @@ def _apart(busy: DataFrame, groups: DataFrame, name: str) -> DataFrame:
 #: A sketch has LANES slots of a signature, a byte each, in words of seven bytes: the eighth stays free, so that sums don't overflow.
 WORDS, LANES = 9, 63
 _ONES = sum(1 << 8 * k for k in range(7))
-#: Groups of a key whose nodes are still apart and more than so many meet again in finer groups first.
-SMALL = 256
 
 
 def equal_lanes(x: str, y: str) -> Column:
@@ -242,9 +240,8 @@ def banded_components(members: DataFrame, verify, compare, name: str) -> DataFra
     linked nodes of different c of which one isn't of its key's component ``main``; b may be any node of the component.
 
     The nodes of a key are compared with one of them: one pair for each member, never all pairs of a group. What is
-    linked then, through whatever keys, is one component. Where nodes of a key are still apart and it has many, they meet
-    again in finer groups, by the pairs of keys that they share, and are compared with one of each in the same way. Only what
-    is apart even then is left to ``compare``.
+    linked then, through whatever keys, is one component. Only what a key still has in several components is left to
+    ``compare``.
     """
     spark = members.sparkSession
     pairs, busy = _stars(members, name)
@@ -255,49 +252,18 @@ def banded_components(members: DataFrame, verify, compare, name: str) -> DataFra
         for table in (pairs, busy, apart, links):
             discard(table)
         return groups
-
-    def joined(new: DataFrame) -> None:
-        nonlocal links, groups
-        old = [new]
-        if not new.isEmpty():
-            old += [links, groups]
-            links = materialize(links.unionByName(new), f"{name}-links")
-            groups = materialize(connected_components(links, name), name)
+    new = compare(apart)
+    if not new.isEmpty():
+        old = links, groups
+        links = materialize(links.unionByName(new), f"{name}-links")
+        groups = materialize(connected_components(links, name), name)
         for table in old:
             discard(table)
-        release(spark)
-
-    sizes = apart.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    large = materialize(apart.join(sizes.where(F.col("n") > SMALL).select("key"), "key", "left_semi").select("key", "node"), f"{name}-large")
-    finer = None
-    if not large.isEmpty():
-        keys = materialize(members.join(large.select("node").distinct(), "node", "left_semi"), f"{name}-keys")
-        twice = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-        both = large.join(keys.join(twice, "key", "left_semi").select(F.col("key").alias("other"), "node"), "node").where("key <> other")
-        both = materialize(both.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node").distinct(), f"{name}-finer")
-        stars, finer = _stars(both, f"{name}-finer")
-        more = materialize(_between(stars, groups).join(pairs, ["a", "b"], "left_anti"), f"{name}-more")
-        joined(verify(more))
-        for table in (keys, both, stars, more):
-            discard(table)
-    few = busy.join(large.select("key").distinct(), "key", "left_anti")
-    rest = _apart(few.unionByName(finer) if finer else few, groups, name)
-    for table in (busy, apart, large, pairs, *([finer] if finer else [])):
+    for table in (pairs, busy, apart, links, new):
         discard(table)
-    if not rest.isEmpty():
-        joined(compare(rest))
-    discard(rest)
-    discard(links)
     release(spark)
     return groups
 
 
-def _between(found: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of different components."""
-    a, b = (groups.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    both = found.join(a, "a", "left").join(b, "b", "left")
-    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
 def nodes_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()

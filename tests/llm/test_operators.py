@@ -78,6 +78,20 @@ def test_secrets(docs):
     assert any("entropy_base64" in r.all for r in found.values())
 
 
+def test_entropy_candidates(spark):
+    """Random strings of every class are found; words, paths, slugs and names in code aren't; many matches in one text are placed right."""
+    secret = ["k3j9x0q7z5w2m8n4b6v1c0p9l2t7r5y3", "kQzWmXbNvRtYpLsDfGhJkZxCvBnMqWeR", "aK3jd93JDk20dkLPq83nxMz7Qw2/Zs+9", "1beb58b8af68854f0e01b4ad40cdbb6a"]
+    plain = ["internationalisation", "getElementsByTagNameOfDocument", "/usr/local/share/applications/default", "some-long-slug-of-a-page-2021", "SOME_CONSTANT_OF_A_PROGRAM", "-" * 60, "Donaudampfschifffahrtsgesellschaft"]
+    many = " ".join(f"token={k:08d}" for k in range(700))
+    rows = spark.createDataFrame(list(enumerate([*secret, *plain, many, None])), "doc_id long, text string")
+    found = {r.doc_id: r.secrets for r in op1_secrets.find_secrets(rows).collect()}
+    kinds = [[s.kind for s in found[k] if s.kind.startswith("entropy")] for k in range(len(secret))]
+    assert kinds == [["entropy_lower"], ["entropy_letters"], ["entropy_base64"], ["entropy_hex"]]
+    assert not any(found[len(secret) + k] for k in range(len(plain)))
+    spans = [s for s in found[len(secret) + len(plain)] if s.kind == "assign"]
+    assert [(s.start, s.value) for s in spans] == [(m.start(), m[0]) for m in re.finditer(r"token=\d+", many)]
+
+
 def test_entropy(spark):
     rng, alphabet = random.Random(2), op1_secrets.CLASSES[1][2]
     xs = ["".join(rng.choice(alphabet) for _ in range(rng.randint(20, 50))) for _ in range(10)] + ["a" * 30, "short"]
@@ -177,6 +191,52 @@ def test_chunks(docs):
         assert len((cut or "").encode()) == r[i].n_bytes - r[i].n_removed
 
 
+def test_chunks_against_brute_force(docs):
+    """The same rules over all chunks in one dictionary: what repeats, what is first, what is removed, span by span."""
+    texts = sorted({x for _, x in ROWS if x}, key=lambda x: x)
+    key = {x: __import__("xxhash").xxh3_64_intdigest(x.encode()) for x in texts}
+    signed = lambda n: n - (1 << 64) if n >> 63 else n
+    where = defaultdict(list)
+    for x in texts:
+        data, at = x.encode(), 0
+        for end in op3_chunks.cuts(data):
+            where[data[at:end]].append((signed(key[x]), at, x))
+            at = end
+    n_rows = Counter(x for _, x in ROWS)
+    first_id = {}
+    for i, x in ROWS:
+        first_id.setdefault(x, i)
+    chunks = defaultdict(list)
+    for c, v in where.items():
+        if len(v) > 1:
+            for place in v:
+                chunks[place[2]].append((place[1], len(c), place == min(v)))
+    found = got(op3_chunks.repeated_substrings(docs))
+    for i, x in ROWS:
+        r = found[i]
+        if x and (n_rows[x] > 1):
+            assert r.n_repeated == r.n_bytes
+        if x and i != first_id[x]:
+            assert r.n_removed == r.n_bytes and [tuple(s) for s in r.spans] == [(0, r.n_bytes)]
+            continue
+        runs, removed = [], []
+        for start, size, first in sorted(chunks[x or ""]):
+            if not runs or runs[-1][-1][0] + runs[-1][-1][1] != start:
+                runs.append([])
+            runs[-1].append((start, size, first))
+        runs = [run for run in runs if sum(c[1] for c in run) >= op3_chunks.LEAST_RUN]
+        for run in runs:
+            for start, size, first in run:
+                if not first:
+                    if removed and removed[-1][1] == start:
+                        removed[-1][1] = start + size
+                    else:
+                        removed.append([start, start + size])
+        assert [list(s) for s in r.spans] == removed and r.n_removed == sum(b - a for a, b in removed)
+        if x and n_rows[x] == 1:
+            assert r.n_repeated == sum(c[1] for run in runs for c in run)
+
+
 def test_chunks_resist_insertions():
     rng = random.Random(4)
     text = bytes(rng.randrange(97, 123) for _ in range(20_000))
@@ -199,6 +259,67 @@ def test_decontamination(spark):
     assert op4_decontaminate.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), bench.limit(0)).count() == 0
 
 
+def best_overlap(doc, item):
+    """All diagonals, token by token."""
+    best = None
+    for shift in range(1 - len(item), len(doc)):
+        same = [0 <= k + shift < len(doc) and doc[k + shift] == t for k, t in enumerate(item)]
+        top = (0, 0, 0, 0)  # score, equal tokens, start, tokens
+        score = n = at = 0
+        for k, s in enumerate(same):
+            if score <= 0:
+                score = n = 0
+                at = k
+            score, n = score + (1 if s else -op4_decontaminate.MISMATCH), n + s
+            if score > top[0]:
+                top = (score, n, at, k - at + 1)
+        n_equal = sum(same)
+        whole = n_equal * 100 >= len(item) * op4_decontaminate.WHOLE_PERCENT
+        if whole or top[1] >= op4_decontaminate.LEAST_MATCHES:
+            one = (n_equal, -shift, 0, len(item)) if whole else (top[1], -shift, top[2], top[3])
+            best = max(best, one) if best else one
+    return best
+
+
+def test_decontamination_against_all_diagonals(spark):
+    rng = random.Random(16)
+    word = lambda: rng.choice(VOCAB) + rng.choice(VOCAB[:9])
+    items = {k: [word() for _ in range(n)] for k, n in enumerate([2, 4, 5, 7, 7, 9, 10, 11, 12, 14, 20, 30, 30])}
+    items[20] = ["again"] * 16
+    docs = []
+    for k, item in items.items():
+        for wrong in (0, 1, 2):
+            copy = list(item)
+            for j in rng.sample(range(len(copy)), min(wrong, len(copy) // 2)):
+                copy[j] = word()
+            docs.append([word() for _ in range(rng.randint(0, 30))] + copy + [word() for _ in range(rng.randint(0, 30))])
+    docs += [items[0], items[1], [word() for _ in range(60)], ["again"] * 400, items[11][:13] + [word() for _ in range(20)], ["", ""]]
+    rows = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(k, ". ".join(x)) for k, x in items.items()], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.n_match, r.item_start - r.doc_start, r.item_start, r.n_tokens) for r in op4_decontaminate.overlaps(rows, bench).collect()}
+    want, lone = {}, set()
+    for i, d in enumerate(docs):
+        for k, x in items.items():
+            if len(x) < op4_decontaminate.LONE:
+                if d == x:
+                    lone.add((i, k))
+            elif b := best_overlap(d, x):
+                want[i, k] = b
+    assert {p for p in found if len(items[p[1]]) < op4_decontaminate.LONE} == lone
+    found = {p: v for p, v in found.items() if p not in lone}
+    assert set(found) <= set(want) and all(v == want[p] for p, v in found.items() if v[1] == want[p][1])
+    missed = {p: v for p, v in want.items() if p not in found}
+    # a diagonal needs a window that its substitutions leave; with up to one in short items, and with few in long ones, there always is one
+    assert all(len(items[k]) < 15 and v[0] <= len(items[k]) - 2 for (_, k), v in missed.items()), missed
+
+
+def test_decontamination_of_repetitive_texts(spark):
+    rows = spark.createDataFrame([(1, "same " * 20_000), (2, "x " + "What is the capital of France?" + " y")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "same " * 30), (2, "what is the capital of france now"), (3, "What is the capital of France")], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.n_match, r.doc_start) for r in op4_decontaminate.overlaps(rows, bench).collect()}
+    assert found == {(1, 1): (30, 0), (2, 2): (6, 1), (2, 3): (6, 1)}
+
+
 def test_quality(docs):
     q = got(op5_quality.quality(docs).select("doc_id", "_q.*"))
     for i, x in ROWS:
@@ -212,6 +333,45 @@ def test_quality(docs):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         assert r.base_failed == (len(w) < 10 or 100 * len(covered) > 20 * len(w)) and not (r.base_failed and r.kept)
     assert not q[ROWS[-1][0]].kept and q[1].kept
+    clean = got(op5_quality.clean_documents(docs))
+    assert set(clean) == {i for i in q if q[i].kept}
+    for i, r in clean.items():
+        lines = dict(ROWS)[i].split("\n")
+        left = [x for x in lines if not bad_line(x)]
+        assert r.text == "\n".join(left) and r.n_chars == len(r.text)
+    for i, x in ROWS:
+        lines = [n for n in (x or "").split("\n") if WORD.search(n)]
+        lost = sum(len(n) for n in lines if bad_line(n))
+        assert q[i].lost_chars == lost and q[i].kept == (not q[i].base_failed and lost <= 0.4 * sum(map(len, lines)))
+
+
+def bad_line(line):
+    """The rules of a line again, by words and characters."""
+    import regex
+
+    t = line.strip(" \t\n\x0b\x0c\r")
+    if not t:
+        return False
+    n = len(re.split(r"\s+", t))
+    count = lambda pattern: len(regex.findall(pattern, t))
+    item = regex.compile("(?i)(?<![\\p{L}\\p{N}])" + op5_quality.ITEM)
+    return bool(
+        count(r"(?:^|\s)[|>»•·]+(?=\s|$)") * 4 >= n
+        or count(r"[\p{L}\p{N}.,][#*$%&<>]{2,}(?=\s|$)|[#*$%&<>]{3,}") * 4 >= n
+        or (n >= 4 and count(r"(?<![\p{L}\p{N}])\p{Lu}{2,}(?![\p{Ll}\p{N}])") * 2 >= n)
+        or (n >= 4 and count("!!+") * 3 >= n)
+        or "{{" in t
+        or "orem ipsum" in t
+        or (item.match(t) and item.sub("", t) == "")
+        or regex.search(op5_quality.NOTICE, t)
+        or (n >= op5_quality.MANY_WORDS and not any(c in t for c in ".!?…:;。！？؟।"))
+    )
+
+
+def test_lines_are_removed(spark):
+    rows = [(1, "Home | About | Contact\nA sentence of some words that stays where it is, as it should.\nAccueil Connexion\nAnother one that is long enough to be kept as well."), (2, "home " * 20_000)]
+    left = got(op5_quality.clean_documents(spark.createDataFrame([(i, x, 7) for i, x in rows], "doc_id long, text string, _q int")))
+    assert left[1].text == "A sentence of some words that stays where it is, as it should.\nAnother one that is long enough to be kept as well." and left[1]._q == 7 and 2 not in left
 
 
 def test_sharding(docs):
@@ -336,12 +496,15 @@ OPERATORS = {
     "bpe": lambda d: op8_bpe.encode_documents(d, *op8_bpe.tokenizer_file()),
     "near": op9_minhash.near_duplicates,
     "suffix": op10_suffix.repeated_bytes,
+    "personal": op7_pii.personal_data,
+    "found secrets": op1_secrets.find_secrets,
+    "clean": op5_quality.clean_documents,
 }
 
 
 @pytest.mark.parametrize("name", sorted(OPERATORS))
 def test_awkward_and_empty_tables(awkward, name):
     rows = OPERATORS[name](awkward).collect()
-    if name in ("chunks", "quality", "sharding", "bpe", "near", "suffix", "secrets"):
+    if name in ("chunks", "quality", "sharding", "bpe", "near", "suffix", "secrets", "personal", "found secrets"):
         assert len(rows) == 7
     assert OPERATORS[name](awkward.limit(0)).collect() == []
