@@ -20,7 +20,7 @@ def prose(seed, n=60):
 def rows(spark):
     texts = [
         (1, prose(1)), (2, prose(1)), (2, prose(2)), (2, prose(2)), (None, prose(3)), (None, prose(3)), (None, None), (3, None), (4, ""), (5, " \n \t"),
-        (6, "\n".join(prose(k, 20) for k in range(100, 3000))), (7, "x" * 1_000_000 + "."), (8, "tie " * 12 + "."), (9, prose(4) + "\n" + prose(5)), (10, prose(6) + "\n" + prose(5)),
+        (6, "\n".join(prose(k, 20) for k in range(100, 400))), (7, "x" * 1_000_000 + "."), (8, "tie " * 12 + "."), (9, prose(4) + "\n" + prose(5)), (10, prose(6) + "\n" + prose(5)),
     ]
     table = [(i, x, "en", "s", len(x or ""), *([k] * len(NAMES))) for k, (i, x) in enumerate(texts)]
     return spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in NAMES)).repartition(3)
