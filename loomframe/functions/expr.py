@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 NUMERIC = (T.NumericType,)
 TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
-# --- query strings -------------------------------------------------------------------------------------------------
+# --- query strings ---
 
 _TOKEN = re.compile(
     r"""\s*(?:(?P<num>\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)|(?P<str>'[^']*'|"[^"]*")|(?P<name>`[^`]+`|[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|<>|[-+*/%<>&|~()\[\],]))"""
@@ -148,7 +148,7 @@ def query(text: str) -> Column:
     return _Query(text).parse()
 
 
-# --- missing values ------------------------------------------------------------------------------------------------
+# --- missing values ---
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -157,12 +157,32 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*[F.nanvl(F.col(f"`{c}`"), F.lit(None)).alias(c) if c in floats else F.col(f"`{c}`") for c in df.columns]) if floats else df
 
 
+def to_nanos(c: Column) -> Column:
+    """A time as whole nanoseconds since 1970; a missing one is 0."""
+    return F.coalesce(micros(c) * 1000, F.lit(0).cast("long"))
+
+
+def only(c: Column, kind: str) -> Column:
+    """The value where it reads as an int, float, bool or str, else null; a text that reads as a number or truth is no str."""
+    text = c.cast("string")
+    whole, number, truth = text.try_cast("long"), text.try_cast("double"), F.when(F.lower(text).isin("true", "false"), F.lower(text) == "true")
+    found = {
+        "int": F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$"), whole),
+        "float": F.when(whole.isNull() | ~text.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.nanvl(number, F.lit(None))),
+        "bool": truth,
+        "str": F.when(number.isNull() & truth.isNull(), text),
+    }
+    if kind not in found:
+        raise ValueError(f"no such kind: {kind!r}")
+    return found[kind]
+
+
 def missing_text(c: Column) -> Column:
     """Whether a text means missing: null, blank, 'none' or 'nan' in any case."""
     return c.isNull() | F.lower(F.trim(c)).isin("", "none", "nan")
 
 
-# --- bins ----------------------------------------------------------------------------------------------------------
+# --- bins ---
 
 
 def micros(c: Column) -> Column:
@@ -266,7 +286,7 @@ DEFAULT_NUMERIC = Bins(width=1, offset=0)
 DEFAULT_TIME = Bins(width=30 * 86_400, offset=1_262_563_200)  # 30 days from 2010-01-04
 
 
-# --- time periods --------------------------------------------------------------------------------------------------
+# --- time periods ---
 
 _UNITS = {"ns": 1e-9, "us": 1e-6, "ms": 1e-3, "s": 1, "min": 60, "t": 60, "h": 3600, "d": 86_400, "w": 604_800}
 
@@ -281,6 +301,25 @@ def seconds(period: str | float) -> float:
     return sum(float(n or 1) * _UNITS[u.lower()] for n, u in parts)
 
 
+def parse_time(value: str | float | datetime) -> int:
+    """A point in time as nanoseconds since 1970: an ISO date or time, a number of nanoseconds, or a datetime; UTC where it says no zone."""
+    if isinstance(value, bool):
+        raise ValueError("a truth value is no time")
+    if isinstance(value, (int, float)):
+        return int(value)
+    try:
+        at = value if isinstance(value, datetime) else datetime.fromisoformat(value.strip())
+    except ValueError:
+        raise ValueError(f"can't read the time {value!r}") from None
+    at = at if at.tzinfo else at.replace(tzinfo=timezone.utc)
+    return (at - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1) * 1000
+
+
+def parse_period(period: str | float) -> int:
+    """A period such as 1d or 12h in nanoseconds; a number is nanoseconds already."""
+    return int(period) if isinstance(period, (int, float)) else round(seconds(period) * 1e9)
+
+
 def uniform_period(c: Column, period: str | float = "1d", offset: str | float = 0) -> Column:
     """floor((time - offset) / period), counted from 1970."""
     return F.floor((micros(c) - int(seconds(offset) * 1e6)) / F.lit(int(seconds(period) * 1e6))).cast("long")
@@ -337,3 +376,12 @@ KNOWN: dict[str, Callable[..., Column]] = {
     "text_to_date": lambda c: F.try_to_timestamp(F.split(c, " ")[0]).cast("date"),
     "day_of_year_to_date": lambda c, year=1976: F.date_add(F.make_date(F.lit(year), F.lit(1), F.lit(1)), c.cast("int") - 1),
 }
+
+
+def register(name: str, func: Callable[..., Column]) -> None:
+    """Makes a function of Columns known by a name."""
+    if not isinstance(name, str) or not name.isidentifier():
+        raise TypeError(f"{name!r} is no name")
+    if not callable(func):
+        raise TypeError("only functions can be registered")
+    KNOWN[name] = func

@@ -7,11 +7,12 @@ from itertools import combinations
 from math import erf, exp, log, pi, sqrt
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomframe.functions.expr import nan_to_null
+from loomframe.operators.relational import numbered_rows, running_sum
 
 METHODS = ("pearson", "spearman", "kendall", "correlation_ratio", "mutual_information", "phik", "significance")
 RATIO_BINS, TABLE_BINS = 11, 10
@@ -46,20 +47,34 @@ def _table(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).dropna().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _ranks(table: DataFrame, key: str) -> DataFrame:
-    """(key, rank): average ranks of the values of one side, by a window over its distinct values."""
-    one = table.groupBy(key).agg(F.sum("n").alias("m"))
-    upto = F.sum("m").over(Window.orderBy(key))
-    return one.select(F.col(key).alias(f"_{key}"), (upto - (F.col("m") - 1) / 2).alias(f"r{key}"))
+def _ranks(counts: DataFrame) -> DataFrame:
+    """(value, rank): average ranks, from a table of distinct values (value, n)."""
+    upto = running_sum(counts, ["value"], F.col("n"), "upto")
+    return upto.select("value", (F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
 
 
 def spearman(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
-    """Pearson of average ranks, over the rows in which both are filled."""
+    """Pearson of average ranks, over the rows in which both are filled.
+
+    Columns without missing values are ranked once for all pairs; others for each pair, as its rows differ.
+    """
     names, out = list(columns) or numbers(df), None
     df = nan_to_null(df)
+    if len(names) < 2:
+        return _both(df.sparkSession.createDataFrame([], "x string, y string, cor double"), names)
+    missing = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in names]).first()
+    once = {}
+    for c in names:
+        if not missing[c]:
+            once[c] = _ranks(df.groupBy(F.col(c).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n")))
     for x, y in combinations(names, 2):
         t = _table(df, x, y)
-        r = t.join(_ranks(t, "a"), F.col("a") == F.col("_a")).join(_ranks(t, "b"), F.col("b") == F.col("_b"))
+
+        def ranks(c: str, side: str) -> DataFrame:
+            found = once[c] if x in once and y in once else _ranks(t.groupBy(F.col(side).alias("value")).agg(F.sum("n").alias("n")))  # noqa: B023
+            return found.select(F.col("value").alias(side), F.col("rank").alias(f"r{side}"))
+
+        r = t.join(ranks(x, "a"), "a").join(ranks(y, "b"), "b")
         n, sa, sb = F.sum("n"), F.sum(F.col("n") * F.col("ra")), F.sum(F.col("n") * F.col("rb"))
         cov = F.sum(F.col("n") * F.col("ra") * F.col("rb")) - sa * sb / n
         va, vb = (F.sum(F.col("n") * F.pow(c, 2)) - s * s / n for c, s in (("ra", sa), ("rb", sb)))
@@ -68,26 +83,39 @@ def spearman(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     return _both(out, names)
 
 
+def _concordance(t: DataFrame) -> DataFrame:
+    """(s,): concordant less discordant pairs of rows of a table (a, b, n).
+
+    The values of a are numbered; two of them part at exactly one bit, the highest in which their numbers differ. So each
+    row counts once for each bit: among the rows of equal higher bits, those with the bit set against those without, in
+    the order of b. The sums over b run in one order of all bits and groups, dealt by ranges: no group, not even the one
+    of the highest bit, is gathered in one task, and no pair is formed.
+    """
+    numbered = numbered_rows(t.select("a").distinct(), ["a"], "k")
+    size = numbered.count()
+    bits = F.array(*[F.struct(F.lit(b).alias("bit"), F.shiftright("k", b + 1).alias("group"), (F.shiftright("k", b) % 2).alias("set")) for b in range(max(1, (size - 1).bit_length()))])
+    rows = t.join(numbered, "a").select("b", "n", F.explode(bits).alias("v")).select("v.*", "b", "n")
+    one = rows.groupBy("bit", "group", "b").agg(F.sum(F.when(F.col("set") == 0, F.col("n")).otherwise(0)).alias("low"), F.sum(F.when(F.col("set") == 1, F.col("n")).otherwise(0)).alias("high"))
+    run = running_sum(one, ["bit", "group", "b"], F.col("low"), "upto")
+    groups = run.groupBy("bit", "group").agg(F.min(F.col("upto") - F.col("low")).alias("before"), F.max("upto").alias("all"))
+    less, more = F.col("upto") - F.col("low") - F.col("before"), F.col("all") - F.col("upto")
+    return run.where("high > 0").join(groups, ["bit", "group"]).agg(F.sum(F.col("high").cast("double") * (less - more)).alias("s"))
+
+
 def kendall(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
-    """Tau-b from the table of distinct pairs, with running sums: for each pair of values the rows below in both come
-    from sums over the table's rows and columns, so the work is one window for each row of the (values x values) grid."""
+    """Tau-b from the table of distinct pairs; see ``_concordance``. The column of fewer values is the one that is numbered."""
     names, out = list(columns) or numbers(df), None
     df = nan_to_null(df)
+    if len(names) < 2:
+        return _both(df.sparkSession.createDataFrame([], "x string, y string, cor double"), names)
+    distinct = df.agg(*[F.approx_count_distinct(c).alias(c) for c in names]).first()
     for x, y in combinations(names, 2):
-        t = _table(df, x, y)
-        values_a, values_b = t.select("a").distinct(), t.select("b").distinct()
-        # for each b of every a: how many rows of lesser a have it, then running over b
-        grid = values_a.join(F.broadcast(values_b)).join(t, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
-        col = grid.withColumn("above", F.sum("n").over(Window.partitionBy("b").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)))
-        by = Window.partitionBy("a").orderBy("b")
-        row = col.withColumn("less", F.coalesce(F.sum("above").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn(
-            "more", F.coalesce(F.sum("above").over(by.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
-        )
-        s = row.agg(F.sum(F.col("n") * F.col("less")).alias("con"), F.sum(F.col("n") * F.col("more")).alias("dis"), F.sum("n").alias("m"))
-        pairs = lambda c: t.groupBy(c).agg(F.sum("n").alias("k")).agg(F.sum(F.col("k").cast("double") * (F.col("k") - 1) / 2).alias(f"t{c}"))  # noqa: B023, E731
-        one = s.join(F.broadcast(pairs("a"))).join(F.broadcast(pairs("b")))
+        a, b = (x, y) if distinct[x] <= distinct[y] else (y, x)
+        t = _table(df, a, b)
+        ties = lambda c: t.groupBy(c).agg(F.sum("n").alias("k")).agg(F.sum(F.col("k").cast("double") * (F.col("k") - 1) / 2).alias(f"t{c}"))  # noqa: B023, E731
+        one = _concordance(t).join(F.broadcast(ties("a"))).join(F.broadcast(ties("b"))).join(F.broadcast(t.agg(F.sum("n").alias("m"))))  # one row each
         total = F.col("m").cast("double") * (F.col("m") - 1) / 2
-        tau = F.try_divide(F.col("con") - F.col("dis"), F.sqrt((total - F.col("ta")) * (total - F.col("tb"))))
+        tau = F.try_divide(F.coalesce("s", F.lit(0.0)), F.sqrt((total - F.col("ta")) * (total - F.col("tb"))))
         one = one.select(F.lit(x).alias("x"), F.lit(y).alias("y"), tau.cast("double").alias("cor"))
         out = one if out is None else out.unionByName(one)
     return _both(out, names)
@@ -113,40 +141,85 @@ def correlation_ratio(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     return out
 
 
-def contingency(df: DataFrame, x: str, y: str, bins: int = TABLE_BINS) -> DataFrame:
-    """(a, b, n): counts of two variables; numbers in equal-width bins, the last closed, others as they are."""
+def contingencies(df: DataFrame, pairs: Sequence[tuple[str, str]], bins: int = TABLE_BINS) -> DataFrame:
+    """(pair, a, b, n): counts of pairs of variables, over the rows in which both are filled; numbers in equal-width bins, the
+    last closed, others as they are. One pass and one shuffle of partial counts for all pairs; the ranges come from one before."""
+    df = nan_to_null(df)
+    names = list(dict.fromkeys(c for p in pairs for c in p))
+    wide = [c for c in names if isinstance(df.schema[c].dataType, T.NumericType)]
+    keys = {c: F.col(c).cast("string") for c in names if c not in wide}
+    if wide:
+        span = df.agg(*[f(F.col(c).cast("double")).alias(f"_{k}{i}") for i, c in enumerate(wide) for k, f in (("lo", F.min), ("hi", F.max))])
+        df = df.join(F.broadcast(span))
+    for i, c in enumerate(wide):
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        keys[c] = F.when(F.col(c).isNotNull(), F.coalesce(F.least(F.floor(F.try_divide(F.col(c) - lo, (hi - lo) / bins)), F.lit(bins - 1)), F.lit(0))).cast("string")
+    rows = df.select(*[keys[c].alias(f"k{i}") for i, c in enumerate(names)])
+    at = {c: F.col(f"k{i}") for i, c in enumerate(names)}
+    each = F.array(*[F.struct(F.lit(i).alias("pair"), at[x].alias("a"), at[y].alias("b")) for i, (x, y) in enumerate(pairs)])
+    return rows.select(F.explode(each).alias("v")).select("v.*").where("a is not null and b is not null").groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("n"))
 
-    def key(c: str) -> tuple[Column, list[Column]]:
-        if not isinstance(df.schema[c].dataType, T.NumericType):
-            return F.col(c).cast("string"), []
-        lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
-        return F.coalesce(F.least(F.floor(F.try_divide(F.col(c) - lo, (hi - lo) / bins)), F.lit(bins - 1)), F.lit(0)).cast("string"), [F.min(F.col(c).cast("double")).alias(f"_lo_{c}"), F.max(F.col(c).cast("double")).alias(f"_hi_{c}")]
 
-    (a, s), (b, t) = key(x), key(y) if y != x else key(x)
-    rows = nan_to_null(df).dropna(subset=[x, y])
-    if s + t:
-        rows = rows.join(F.broadcast(rows.agg(*s, *(t if y != x else []))))
-    return rows.groupBy(a.alias("a"), b.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+def contingency(df: DataFrame, x: str, y: str, bins: int = TABLE_BINS) -> DataFrame:
+    """(a, b, n): the table of two variables; see ``contingencies``."""
+    return contingencies(df, [(x, y)], bins).drop("pair")
 
 
-def table_stats(table: DataFrame) -> DataFrame:
-    """chi2, g (twice the log likelihood ratio), mutual information (nats), rows, columns, n and dof of a contingency table.
+def table_stats(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """chi2, g (twice the log likelihood ratio), mutual information (nats), rows, columns, n and dof of contingency tables.
 
     Cells without rows count through the margins: chi2 is n times (the sum of n_ab^2 / (n_a n_b) less 1).
     """
-    a = table.groupBy("a").agg(F.sum("n").alias("na"))
-    b = table.groupBy("b").agg(F.sum("n").alias("nb"))
-    total = table.agg(F.sum("n").alias("t"))
-    full = table.join(a, "a").join(b, "b").join(F.broadcast(total))
+    by = list(by)
+    a = table.groupBy(*by, "a").agg(F.sum("n").alias("na"))
+    b = table.groupBy(*by, "b").agg(F.sum("n").alias("nb"))
+    total = table.groupBy(*by).agg(F.sum("n").alias("t"))
+    full = table.join(a, [*by, "a"]).join(b, [*by, "b"])
+    full = full.join(total, by) if by else full.join(F.broadcast(total))
     n, na, nb, t = (F.col(c).cast("double") for c in ("n", "na", "nb", "t"))
     mi = F.sum(n / t * F.log(n * t / (na * nb)))
-    out = full.agg((F.first(t) * (F.sum(n * n / (na * nb)) - 1)).alias("chi2"), mi.alias("mi"), F.first("t").alias("n"), F.count_distinct("a").alias("n_a"), F.count_distinct("b").alias("n_b"))
+    sizes = a.groupBy(*by).agg(F.count(F.lit(1)).alias("n_a")), b.groupBy(*by).agg(F.count(F.lit(1)).alias("n_b"))
+    out = full.groupBy(*by).agg((F.first(t) * (F.sum(n * n / (na * nb)) - 1)).alias("chi2"), mi.alias("mi"), F.first("t").alias("n"))
+    for one in sizes:
+        out = out.join(one, by) if by else out.join(F.broadcast(one))
     return out.withColumn("g", 2 * F.col("n") * F.col("mi")).withColumn("dof", (F.col("n_a") - 1) * (F.col("n_b") - 1))
 
 
 def mutual_information(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
-    """Plug-in mutual information of binned variables, in nats: an approximation to nearest-neighbour estimates."""
-    return _by_table(df, columns, lambda r, _: r["mi"])
+    """Plug-in mutual information of binned variables, in nats: an approximation to nearest-neighbour estimates that needs
+    no neighbours, which are a search of all rows against all."""
+    names = list(columns) or numbers(df)
+    return _mirrored(df.sparkSession, names, lambda pairs: table_stats(contingencies(df, pairs), ["pair"]).select("pair", F.col("mi").alias("cor")))
+
+
+def neighbour_information(df: DataFrame, x: str, y: str, rows: int = 2000, k: int = 3, seed: int = 1) -> float:
+    """Nearest-neighbour mutual information (Kraskov's first estimator) of two numbers, over a bounded random sample of rows.
+
+    For comparison with the binned values; the sample is a parameter, as all neighbours of all rows are quadratic.
+    """
+    import numpy as np
+
+    found = nan_to_null(df).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna().orderBy(F.rand(seed)).limit(rows).collect()
+    if len(found) <= k:
+        return 0.0
+    v = np.array([tuple(r) for r in found])
+    v = (v - v.mean(axis=0)) / np.where(v.std(axis=0) > 0, v.std(axis=0), 1)
+    v += 1e-10 * np.random.default_rng(seed).normal(size=v.shape)
+    dx, dy = (np.abs(v[:, None, i] - v[None, :, i]) for i in (0, 1))
+    for d in (dx, dy):
+        np.fill_diagonal(d, np.inf)
+    reach = np.partition(np.maximum(dx, dy), k - 1, axis=1)[:, k - 1]
+    nx, ny = ((d < reach[:, None]).sum(axis=1) for d in (dx, dy))
+    harmonic = np.concatenate([[0.0], np.cumsum(1 / np.arange(1, len(v) + 1))])  # digamma(n) = harmonic(n - 1) - Euler's constant
+    return max(0.0, float(harmonic[k - 1] + harmonic[len(v) - 1] - (harmonic[nx] + harmonic[ny]).mean()))
+
+
+def _mirrored(spark, names: Sequence[str], values) -> DataFrame:
+    """The whole matrix from a value (pair, cor) of each pair of columns i <= j."""
+    pairs = [(x, y) for i, x in enumerate(names) for y in names[i:]]
+    rows = [(k, *p) for k, (x, y) in enumerate(pairs) for p in dict.fromkeys([(x, y), (y, x)])]
+    both = spark.createDataFrame(rows, "pair int, x string, y string")
+    return F.broadcast(both).join(values(pairs), "pair", "left").select("x", "y", F.coalesce("cor", F.lit(0.0)).alias("cor"))
 
 
 def bivariate_cell(rho: float, a: Sequence[float], b: Sequence[float]) -> list[list[float]]:
@@ -239,34 +312,39 @@ def z_from_g(g: float, dof: float) -> float:
     return 0.0 if p >= 1 else sqrt(max(0.0, g - (dof - 1) * log(max(g, 1.0))))
 
 
-def _by_table(df: DataFrame, columns: Sequence[str], value) -> DataFrame:
-    """A value of each pair's table; what reaches the driver are the margins of tables of a bounded number of bins."""
-    names = list(columns) or numbers(df)
-    rows = []
-    for i, x in enumerate(names):
-        for y in names[i:]:
-            table = contingency(df, x, y).persist()
-            stats = table_stats(table).first()
-            margins = [[r[0] for r in table.groupBy(k).agg((F.sum("n") / F.lit(stats["n"] or 1)).alias("p")).orderBy(k).select("p").collect()] for k in ("a", "b")]
-            table.unpersist()
-            v = float(value(stats, margins))
-            rows += [(x, y, v)] + [(y, x, v)] * (x != y)
-    return df.sparkSession.createDataFrame(rows, "x string, y string, cor double")
+def phik(df: DataFrame, columns: Sequence[str] = (), most: int = 1000) -> DataFrame:
+    """The correlation of the bivariate normal whose binned chi2, less its noise, is the table's.
 
+    The margins of the tables reach the driver: ten bins of a number, and of categories at most ``most``; more are an error.
+    """
+    names = list(columns) or numbers(df)
 
-def phik(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
-    """The correlation of the bivariate normal whose binned chi2, less its noise, is the table's."""
-
-    def value(s, margins):
-        chi2 = s["chi2"] or 0.0
-        return rho_from_chi2(chi2 - s["dof"], s["n"], *margins)
+    def values(pairs):
+        table = contingencies(df, pairs)
+        kept = table_stats(table, ["pair"]).collect()
+        if any(max(r["n_a"], r["n_b"]) > most for r in kept):
+            raise ValueError(f"a column has over {most} categories")
+        sums = [table.groupBy("pair", F.lit(k).alias("side"), F.col(k).alias("key")).agg(F.sum("n").alias("n")) for k in ("a", "b")]
+        margins: dict[tuple, list] = {}
+        for r in sums[0].unionByName(sums[1]).orderBy("pair", "side", "key").collect():
+            margins.setdefault((r["pair"], r["side"]), []).append(r["n"])
+        rows = []
+        for r in kept:
+            pa, pb = ([n / r["n"] for n in margins[r["pair"], k]] for k in ("a", "b"))
+            rows.append((r["pair"], float(rho_from_chi2((r["chi2"] or 0.0) - r["dof"], r["n"], pa, pb))))
+        return df.sparkSession.createDataFrame(rows, "pair int, cor double")
 
-    return _by_table(df, columns, value)
+    return _mirrored(df.sparkSession, names, values)
 
 
 def significance(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     """Normal deviations of the hypothesis of independence, by the asymptotic G test."""
-    return _by_table(df, columns, lambda s, _: z_from_g(s["g"] or 0.0, s["dof"]))
+
+    def values(pairs):
+        rows = [(r["pair"], float(z_from_g(r["g"] or 0.0, r["dof"]))) for r in table_stats(contingencies(df, pairs), ["pair"]).collect()]
+        return df.sparkSession.createDataFrame(rows, "pair int, cor double")
+
+    return _mirrored(df.sparkSession, list(columns) or numbers(df), values)
 
 
 def correlations(df: DataFrame, method: str, columns: Sequence[str] = ()) -> DataFrame:

@@ -51,16 +51,19 @@ def defactorize(df: DataFrame, maps: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def one_hot(df: DataFrame, columns: Sequence[str], values: dict[str, Sequence] | None = None, as_type: str = "boolean") -> DataFrame:
+def one_hot(df: DataFrame, columns: Sequence[str], values: dict[str, Sequence] | None = None, as_type: str = "boolean", most: int = 2000) -> DataFrame:
     """A column ``name_value`` for each value, true where it is equal and false elsewhere, missing values included.
 
-    Values that aren't given are collected: as many as there are columns to make, sorted.
+    Values that aren't given are collected, sorted: as many as there are columns to make, and at most ``most``; more are
+    an error.
     """
     made: list[Column] = []
     for c in columns:
         found = (values or {}).get(c)
         if found is None:
-            found = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).collect()]
+            found = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).limit(most + 1).collect()]
+            if len(found) > most:
+                raise ValueError(f"column {c!r} has over {most} values; give those that count")
         made += [F.coalesce(F.col(c) == F.lit(v), F.lit(False)).cast(as_type).alias(f"{c}_{v}") for v in found]
     return df.select("*", *made)
 

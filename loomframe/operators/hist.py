@@ -6,12 +6,12 @@ import math
 from collections.abc import Sequence
 from functools import reduce, total_ordering
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomframe.functions.expr import DEFAULT_NUMERIC, DEFAULT_TIME, Bins, kind_of, micros
-from loomframe.operators.relational import unit
+from loomframe.operators.relational import running_sum, unit
 
 
 def parse_columns(spec: str | Sequence[str]) -> list[str]:
@@ -109,6 +109,12 @@ class ValueCounts:
             out = ValueCounts(rows.where(F.col("_kind") == best).drop("_kind"), self.keys)
         return out
 
+    def __eq__(self, other) -> bool:
+        """By the number of keys, as the other comparisons."""
+        return isinstance(other, (ValueCounts, int)) and int.__eq__(*self._dims(other))
+
+    __hash__ = None
+
     def _dims(self, other) -> tuple[int, int]:
         return len(self.keys), len(other.keys) if isinstance(other, ValueCounts) else int(other)
 
@@ -152,13 +158,45 @@ class Histogram:
     def __init__(self, counts: dict, bins: Bins | dict | None = None, variable: str = "x", kind: str | None = None):
         if not counts:
             raise AttributeError("no counts")
-        self.bins, self.variable = Bins.of(bins), variable
-        self.kind = kind or ("numeric" if self.bins else "category")
-        self.counts = {k: counts[k] for k in sorted(counts, key=lambda k: (k is None, k))}
+        self.bins, self._variable = Bins.of(bins), variable
+        self._kind = kind or ("numeric" if self.bins else "category")
+        mixed = len({type(k) for k in counts if k is not None and not isinstance(k, (int, float))} | {int for k in counts if isinstance(k, (int, float))}) > 1
+        self.counts = {k: counts[k] for k in sorted(counts, key=lambda k: (k is None, type(k).__name__ if mixed else "", k if k is not None else 0))}
+
+    @property
+    def variable(self) -> str:
+        return self._variable
+
+    @variable.setter
+    def variable(self, name: str) -> None:
+        if self._variable not in ("x", name):
+            raise AttributeError(f"the variable is {self._variable!r} already")
+        self._variable = name
+
+    @property
+    def kind(self) -> str:
+        return self._kind
+
+    @kind.setter
+    def kind(self, name: str) -> None:
+        if name != self._kind:
+            raise AttributeError(f"the kind is {self._kind!r} already")
 
     @classmethod
-    def of(cls, counts: ValueCounts, bins: Bins | dict | None = None) -> Histogram:
-        return cls({r[counts.keys[0]]: r["count"] for r in counts.frame.select(counts.keys[0], "count").collect()}, bins, counts.keys[0])
+    def of(cls, counts: ValueCounts, bins: Bins | dict | None = None, most: int = 1_000_000) -> Histogram:
+        """The counts on the driver; over ``most`` filled bins are an error."""
+        rows = counts.frame.select(counts.keys[0], "count").limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"over {most} bins are filled")
+        return cls({r[0]: r[1] for r in rows}, bins, counts.keys[0])
+
+    def consistent(self, prefer: type | None = None) -> Histogram:
+        """Only the keys of the type that has the largest counts in all (or the preferred one); of equals the first name by alphabet."""
+        sums: dict[type, float] = {}
+        for k, n in self.filled().items():
+            sums[type(k)] = sums.get(type(k), 0) + n
+        best = prefer or min(sums, key=lambda t: (-sums[t], t.__name__))
+        return Histogram({k: n for k, n in self.filled().items() if type(k) is best}, self.bins, self.variable, self.kind)
 
     @classmethod
     def from_arrays(cls, counts: Sequence, edges_or_labels: Sequence, variable: str = "x") -> Histogram:
@@ -278,8 +316,8 @@ def zero_filled(counts: ValueCounts, low: int | None = None, high: int | None =
 
 
 def cumulative(counts: ValueCounts) -> DataFrame:
-    """Counts and their running sum; rows are bins, not data."""
-    return counts.frame.withColumn("upto", F.sum("count").over(Window.orderBy(counts.keys[0])))
+    """Counts and their running sum; by parts, as there may be as many bins as there are categories."""
+    return running_sum(counts.frame, [counts.keys[0]], F.col("count"), "upto")
 
 
 def surface(counts: ValueCounts, bins: Bins) -> DataFrame:

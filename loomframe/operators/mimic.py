@@ -4,20 +4,20 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 from itertools import combinations, product
-from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomframe.operators import assoc
 from loomframe.operators.assoc import chi2_survival
 from loomframe.operators.encode import code_map
 from loomframe.operators.relational import bootstrap, numbered_rows, running_sum, unit
 
-# --- generators ----------------------------------------------------------------------------------------------------
+# --- generators ---
 
 
 def normal(key: str | Column, seed: int, mean: float = 0.0, std: float = 1.0) -> Column:
@@ -77,7 +77,7 @@ def mixed_variables(
     return out
 
 
-# --- preparation ---------------------------------------------------------------------------------------------------
+# --- preparation ---
 
 
 def hash_names(names: Sequence[str], salt: str = "") -> dict[str, str]:
@@ -140,22 +140,59 @@ def percent_ranks(df: DataFrame, column: str) -> DataFrame:
     return upto.select("value", F.coalesce(F.try_divide(F.col("upto") - (F.col("n") + 1) / 2, F.col("t") - 1), F.lit(0.5)).alias("q"))
 
 
+def _once(value: Column, body) -> Column:
+    """``body(v)`` with ``v`` evaluated once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _polynomial(x: Column, coefficients: Sequence[float]) -> Column:
+    return reduce(lambda a, c: a * x + c, coefficients[1:], F.lit(coefficients[0]))
+
+
+_CENTRE = (
+    (2509.0809287301226727, 33430.575583588128105, 67265.770927008700853, 45921.953931549871457, 13731.693765509461125, 1971.5909503065514427, 133.14166789178437745, 3.387132872796366608),
+    (5226.495278852545925, 28729.085735721942674, 39307.89580009271061, 21213.794301586595867, 5394.1960214247511077, 687.1870074920579083, 42.313330701600911252, 1.0),
+)
+_MIDDLE = (
+    (7.7454501427834140764e-4, 0.0227238449892691845833, 0.24178072517745061177, 1.27045825245236838258, 3.64784832476320460504, 5.7694972214606914055, 4.6303378461565452959, 1.42343711074968357734),
+    (1.05075007164441684324e-9, 5.475938084995344946e-4, 0.0151986665636164571966, 0.14810397642748007459, 0.68976733498510000455, 1.6763848301838038494, 2.05319162663775882187, 1.0),
+)
+_TAIL = (
+    (2.01033439929228813265e-7, 2.71155556874348757815e-5, 0.0012426609473880784386, 0.026532189526576123093, 0.29656057182850489123, 1.7848265399172913358, 5.4637849111641143699, 6.6579046435011037772),
+    (2.04426310338993978564e-15, 1.4215117583164458887e-7, 1.8463183175100546818e-5, 7.868691311456132591e-4, 0.0148753612908506148525, 0.13692988092273580531, 0.59983220655588793769, 1.0),
+)
+
+
 def inverse_normal(q: str | Column) -> Column:
-    """The standard normal quantile. The function is made here, so that workers get it with the plan."""
+    """The standard normal quantile, by the rational approximations of algorithm AS 241 (16 digits); q is held to [1e-7, 1 - 1e-7]."""
+    q = F.least(F.greatest(F.col(q) if isinstance(q, str) else q, F.lit(1e-7)), F.lit(1 - 1e-7))
+
+    def ratio(x: Column, c) -> Column:
+        return _once(x, lambda v: _polynomial(v, c[0]) / _polynomial(v, c[1]))
 
-    def work(q: pd.Series) -> pd.Series:
-        inv = NormalDist().inv_cdf
-        return q.map(lambda p: None if pd.isna(p) else inv(min(max(p, 1e-7), 1 - 1e-7)))
+    def far(p: Column) -> Column:
+        return _once(F.sqrt(-F.log(p)), lambda r: F.when(r <= 5, ratio(r - 1.6, _MIDDLE)).otherwise(ratio(r - 5, _TAIL)))
 
-    return F.pandas_udf(work, "double")(q)
+    def of(p: Column) -> Column:
+        d = p - 0.5
+        return F.when(F.abs(d) <= 0.425, d * ratio(0.180625 - d * d, _CENTRE)).when(d < 0, -far(p)).otherwise(far(1 - p))
+
+    return _once(q, of)
 
 
 def normal_cdf(z: str | Column) -> Column:
-    def work(z: pd.Series) -> pd.Series:
-        cdf = NormalDist().cdf
-        return z.map(lambda x: None if pd.isna(x) else cdf(x))
+    """The standard normal distribution function, by Hart's rational approximation (15 digits) and a continued fraction in the tails."""
+    z = F.col(z) if isinstance(z, str) else z
+
+    def of(z: Column) -> Column:
+        x = F.abs(z)
+        top = _polynomial(x, (3.52624965998911e-2, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376))
+        bottom = _polynomial(x, (8.83883476483184e-2, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752))
+        tail = x + 1 / (x + 2 / (x + 3 / (x + 4 / (x + 0.65))))
+        upper = F.exp(-x * x / 2) * F.when(x < 7.07106781186547, top / bottom).otherwise(1 / (tail * 2.506628274631))
+        return F.when(x > 37, F.when(z > 0, 1.0).otherwise(0.0)).when(z > 0, 1 - upper).otherwise(upper)
 
-    return F.pandas_udf(work, "double")(z)
+    return _once(z, of)
 
 
 def normal_scores(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
@@ -165,9 +202,15 @@ def normal_scores(df: DataFrame, column: str, out: str | None = None) -> DataFra
 
 
 def quantile_table(df: DataFrame, column: str, n: int = 1000) -> tuple[list[float], list[float]]:
-    """(q, value) at n + 1 even probabilities; a bounded table for ``from_normal``."""
+    """(q, value) at n + 1 even probabilities, a bounded table for ``from_normal``.
+
+    Of the distinct values the first and last of each n-th of the ranks reach the driver, and what lies between is linear.
+    """
+    near = percent_ranks(df, column).withColumn("k", F.floor(F.col("q") * n))
+    found = near.groupBy("k").agg(F.min(F.struct("q", "value")).alias("a"), F.max(F.struct("q", "value")).alias("b")).collect()
+    points = sorted({(float(x["q"]), float(x["value"])) for r in found for x in (r["a"], r["b"])})
     q = [k / n for k in range(n + 1)]
-    return q, [float(x) for x in df.select(F.percentile(column, F.array(*[F.lit(x) for x in q]))).first()[0]]
+    return q, np.interp(q, [a for a, _ in points], [b for _, b in points]).tolist() if points else [0.0] * (n + 1)
 
 
 def from_normal(c: Column, table: tuple[list[float], list[float]]) -> Column:
@@ -202,7 +245,7 @@ def rotate(df: DataFrame, columns: Sequence[str], means: np.ndarray, axes: np.nd
     return df.select(*[c for c in df.columns if c not in columns], *new)
 
 
-# --- kernels -------------------------------------------------------------------------------------------------------
+# --- kernels ---
 
 
 def bandwidths(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -308,7 +351,7 @@ def resample(
     return out
 
 
-# --- evaluation ----------------------------------------------------------------------------------------------------
+# --- evaluation ---
 
 
 def two_sample_chi2(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -387,7 +430,7 @@ def _at_most(c: str):
 def evaluate(original: DataFrame, sample: DataFrame, columns: Sequence[str], edges: dict[str, Sequence[float]]) -> list[dict]:
     """chi2 over all columns, of each column and each pair, and the KS distance of each column with edges, with p-values."""
     found = []
-    for keys in [list(columns)] * (len(columns) > 2) + [[c] for c in columns] + [list(p) for p in combinations(columns, 2)]:
+    for keys in [list(columns)] * (len(columns) > 2) + [[c] for c in columns] + [list(p) for p in combinations(columns, 2)]:  # (y, x) has the table of (x, y)
         r = two_sample_chi2(binned_counts(original, keys, edges), binned_counts(sample, keys, edges), keys).first()
         found.append({"test": "chi2", "columns": keys, "value": r["chi2"], "dof": r["dof"], "p": chi2_p_value(r["chi2"] or 0.0, r["dof"])})
     for c in columns:
@@ -402,6 +445,151 @@ def insert_missing(df: DataFrame, values: DataFrame, key: str) -> DataFrame:
     return df.select(key).join(values, key, "left")
 
 
+#: A frame made ready for resampling: ``frame`` has ID, codes for the categories and normal scores for the numbers.
+@dataclass
+class Prepared:
+    frame: DataFrame
+    unordered: list[str]
+    ordered: list[str]
+    continuous: list[str]
+    maps: dict[str, DataFrame] = field(default_factory=dict)
+    tables: dict[str, tuple[list[float], list[float]]] = field(default_factory=dict)
+    warnings: list[tuple[str, str, float]] = field(default_factory=list)
+    axes: tuple[np.ndarray, np.ndarray] | None = None
+    names: dict[str, str] = field(default_factory=dict)
+
+    @property
+    def columns(self) -> list[str]:
+        return [*self.unordered, *self.ordered, *self.continuous]
+
+
+def prepare(
+    df: DataFrame,
+    key: str,
+    unordered: Sequence[str] = (),
+    ordered: Sequence[str] = (),
+    continuous: Sequence[str] = (),
+    strings: Sequence[str] = (),
+    maps: dict[str, DataFrame] | None = None,
+    count: int = 1,
+    extremes_fraction: float = 0.15,
+    smoothing_fraction: float = 0.0002,
+    pca: bool = False,
+    anonymized: Sequence[str] = (),
+    hashed_names: Sequence[str] = (),
+    salt: str = "",
+    correlation: str = "pearson",
+    seed: int = 0,
+) -> Prepared:
+    """All steps before resampling: names hashed, values anonymized, texts to codes, warnings of high correlations, peaks
+    smoothed, two extreme rows, each number through its own quantiles to a standard normal (its filled values; missing ones
+    stay missing), and principal axes if asked for. key: the column that identifies a row; it becomes ID."""
+    names = hash_names(hashed_names, salt)
+    df = df.withColumnsRenamed(names)
+    u, o, c, texts = ([names.get(x, x) for x in xs] for xs in (unordered, ordered, continuous, strings))
+    rows = df.select(F.col(names.get(key, key)).alias("ID"), *u, *o, *c)
+    for x in anonymized:
+        rows = anonymize(rows, names.get(x, x), seed)
+    if maps is None:
+        rows, maps = to_codes(rows, texts, "ID")
+    else:
+        for x, m in maps.items():
+            rows = rows.join(m.select(F.col("value").alias("_v"), F.col("code").alias("_c")), F.col(x) == F.col("_v"), "left").withColumn(x, F.col("_c")).drop("_v", "_c")
+    if missing := [x for x in texts if x not in maps]:
+        raise ValueError(f"no maps for {missing}")
+    held = [rows := rows.persist()]  # each step reads the one before several times
+    high = assoc.high_correlations(assoc.correlations(rows, correlation, [*u, *o, *c])).collect() if correlation else []
+    for k, x in enumerate(c):
+        held.append(rows := smooth_peaks(rows, x, count, "ID", smoothing_fraction, seed + k).persist())
+    out = Prepared(rows, u, o, c, maps, {}, [(r["x"], r["y"], r["cor"]) for r in high], None, names)
+    for x in c:
+        values = append_extremes(drop_missing(rows, [x]).select(x), [x], extremes_fraction)
+        table = percent_ranks(values, x).select(F.col("value").alias("_v"), inverse_normal("q").alias("_z"))
+        out.tables[x] = quantile_table(values, x)
+        held.append(rows := rows.join(table, F.col(x) == F.col("_v"), "left").withColumn(x, F.col("_z")).drop("_v", "_z").persist())
+    if pca and c:
+        out.axes = principal_axes(rows, c)
+        rows = rotate(rows, c, *out.axes)
+    out.frame = rows.select("ID", *out.columns).persist()  # the caller's to unpersist, as its resamples may be many
+    out.frame.count()
+    for one in held:
+        one.unpersist()
+    return out
+
+
+def kernel_bandwidths(p: Prepared, seed: int = 0) -> dict[str, float]:
+    """A bandwidth for each column: by cross-validation where all are unordered, else by the normal reference rule over all."""
+    complete = drop_missing(p.frame, p.columns)
+    if not p.ordered and not p.continuous:
+        return dict(zip(p.columns, unordered_bandwidths(complete, p.columns, seed), strict=True))
+    return {r["column"]: r["bandwidth"] for r in bandwidths(complete, p.columns).collect()}
+
+
+def resample_prepared(p: Prepared, widths: dict[str, float], size: int | None = None, seed: int = 0, most: int = 10_000) -> DataFrame:
+    """ID (of the source row), draw and all columns as they were before ``prepare``: drawn, moved by the kernels, numbers made
+    standard again and back through their quantiles, codes back to texts. A category column has at most ``most`` values."""
+    values = {}
+    for c in [*p.unordered, *p.ordered]:
+        found = [r[0] for r in p.frame.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).limit(most + 1).collect()]
+        if len(found) > most:
+            raise ValueError(f"column {c!r} has over {most} categories")
+        values[c] = found
+    n = size or p.frame.count()
+    out = resample(
+        p.frame, n, ["ID"], {c: widths[c] for c in p.continuous}, {c: (min(widths[c], 1.0), values[c]) for c in p.unordered}, {c: (min(widths[c], 1.0), values[c]) for c in p.ordered}, seed
+    )
+    if p.axes is not None:
+        out = rotate(out, p.continuous, *p.axes, inverse=True)
+    if p.continuous:
+        span = out.agg(*[f(c).alias(f"_{k}{i}") for i, c in enumerate(p.continuous) for k, f in (("m", F.avg), ("s", F.stddev_pop))])
+        out = out.join(F.broadcast(span))
+        for i, c in enumerate(p.continuous):
+            standard = F.coalesce(F.try_divide(F.col(c) - F.col(f"_m{i}"), F.col(f"_s{i}")), F.col(c) - F.col(f"_m{i}"))
+            out = out.withColumn(c, from_normal(standard, p.tables[c]))
+    for c, m in p.maps.items():
+        out = out.join(m.select(F.col("code").alias("_c"), F.col("value").alias("_v")), F.col(c) == F.col("_c"), "left").withColumn(c, F.col("_v")).drop("_c", "_v")
+    return out.select("ID", "draw", *p.columns)
+
+
+def insert_back_missing(values: DataFrame, original: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """All rows of the original; its ``columns`` from values by key, and missing where the original is or values has no such row."""
+    new = values.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_n_{c}") for c in columns])
+    both = original.join(new, F.col(key) == F.col("_k"), "left")
+    return both.select(*[F.when(F.col(c).isNotNull(), F.col(f"_n_{c}")).alias(c) if c in columns else F.col(c) for c in original.columns])
+
+
+def mesh(categories: Sequence[Sequence]) -> list[tuple]:
+    """All combinations of the categories of each column, in order."""
+    return list(product(*categories))
+
+
+def mesh_values(h: Sequence[float], categories: Sequence[int], convolution: bool = False) -> dict[int, float]:
+    """The kernel product (or that of the convolved kernels) of each pattern of equal and different columns."""
+    c, kernel = np.asarray(categories, float), aitchison_aitken_convolution if convolution else aitchison_aitken
+    patterns = {p: np.array([(p >> (len(c) - 1 - i)) & 1 for i in range(len(c))], bool) for p in range(1 << len(c))}
+    return {p: float(np.prod(kernel(np.asarray(h, float), same, c))) for p, same in patterns.items()}
+
+
+def mesh_density(counts: dict[tuple, int], h: Sequence[float], categories: Sequence[Sequence]) -> dict[tuple, float]:
+    """The density of each cell of the mesh: the kernels of all rows, by their distinct combinations."""
+    values, n = mesh_values(h, [len(c) for c in categories]), sum(counts.values())
+    pattern = lambda a, b: sum((x == y) << (len(a) - 1 - i) for i, (x, y) in enumerate(zip(a, b, strict=True)))
+    return {cell: sum(k * values[pattern(cell, row)] for row, k in counts.items()) / n for cell in mesh(categories)}
+
+
+def evaluation(original: DataFrame, sample: DataFrame, columns: Sequence[str], continuous: Sequence[str], key: str = "ID", bins: int = 20) -> dict:
+    """The tests of ``evaluate``, the cosine distances of rows and their sources (``describe`` of them), and Pearson's matrices
+    before and after."""
+    edges = {c: edges_of(original, c, bins) for c in continuous}
+    found = {"tests": evaluate(original, sample, [*columns, *continuous], edges)}
+    if continuous:
+        a = original.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_o_{c}") for c in continuous])
+        pairs = sample.join(a, F.col(key) == F.col("_k"))
+        found["distance"] = describe(cosine_distances(pairs, continuous, [f"_o_{c}" for c in continuous]), "distance").first().asDict()
+        found["before"], found["after"] = ({(r["x"], r["y"]): r["cor"] for r in assoc.pearson(d, continuous).collect()} for d in (original, sample))
+    return found
+
+
 def edges_of(df: DataFrame, column: str, n: int) -> list[float]:
     lo, hi = df.agg(F.min(column), F.max(column)).first()
     return [lo + (hi - lo) * k / n for k in range(n)] + [hi]

@@ -7,9 +7,10 @@ from math import floor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomframe.functions.expr import TIMES, Bins, kind_of, micros, nan_to_null
-from loomframe.operators.relational import running_sum, top
+from loomframe.operators.relational import numbered_rows, running_sum, top
 
 PROBABILITIES = (0.01, 0.05, 0.16, 0.5, 0.84, 0.95, 0.99)
 
@@ -62,7 +63,8 @@ def quantiles(df: DataFrame, column: str, probabilities: Sequence[float], weight
 def profile(df: DataFrame, columns: Sequence[str], weight: str | None = None) -> DataFrame:
     """One row for each column: count, filled, distinct, nan and, of numbers and times, mean, std (population), min, max.
 
-    One pass for all columns. Times are in days since 1970. With weights, count and filled are summed weights.
+    One pass for all columns, and one shuffle of partial counts for the distinct values of all. Times are in days since
+    1970. With weights, count and filled are summed weights.
     """
     df = nan_to_null(df)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -74,7 +76,6 @@ def profile(df: DataFrame, columns: Sequence[str], weight: str | None = None) ->
         aggs += [
             F.sum(w).cast("long").alias(f"count{i}"),
             F.coalesce(F.sum(F.when(some, w)).cast("long"), F.lit(0)).alias(f"filled{i}"),
-            F.count_distinct(F.col(c)).alias(f"distinct{i}"),
             F.count(F.when(~some, 1)).alias(f"nan{i}"),
         ]
         if x is not None:
@@ -82,8 +83,70 @@ def profile(df: DataFrame, columns: Sequence[str], weight: str | None = None) ->
             aggs += [F.try_divide(s, n).alias(f"mean{i}"), F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
             aggs.append((F.stddev_pop(x) if not weight else F.sqrt(F.greatest(F.try_divide(F.sum(F.when(some, w * x * x)), n) - F.pow(F.try_divide(s, n), 2), F.lit(0.0)))).alias(f"std{i}"))
         number = [F.col(f"{k}{i}").alias(k) if x is not None else F.lit(None).cast("double").alias(k) for k in ("mean", "std", "min", "max")]
-        parts.append(F.struct(F.lit(c).alias("column"), *[F.col(f"{k}{i}").alias(k) for k in ("count", "filled", "distinct", "nan")], *number))
-    return df.agg(*aggs).select(F.explode(F.array(*parts)).alias("v")).select("v.*")
+        parts.append(F.struct(F.lit(i).alias("i"), F.lit(c).alias("column"), *[F.col(f"{k}{i}").alias(k) for k in ("count", "filled", "nan")], *number))
+    row = df.agg(*aggs).select(F.explode(F.array(*parts)).alias("v")).select("v.*")
+    out = row.join(F.broadcast(distinct_counts(df, columns)), "i", "left")  # a row for each column
+    return out.select("column", "count", "filled", F.coalesce("distinct", F.lit(0).cast("long")).alias("distinct"), "nan", "mean", "std", "min", "max")
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(i, distinct): filled values of the i-th column, as (column, value) rows that are counted twice, with partial sums; not
+    a copy of every row for each column."""
+    text = [F.col(c) + F.lit(0) if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else F.col(c) for c in columns]
+    each = F.array(*[F.struct(F.lit(i).alias("i"), x.cast("string").alias("v")) for i, x in enumerate(text)])
+    rows = df.select(F.explode(each).alias("e")).select("e.*").where("v is not null")
+    return rows.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")).groupBy("i").agg(F.count(F.lit(1)).alias("distinct"))
+
+
+#: The statistics of ``statistics``, in order.
+STATISTICS = ("count", "filled", "distinct", "nan", "mean", "std", "min", "max", "p01", "p05", "p16", "p50", "p84", "p95", "p99", "mode")
+
+
+def weighted(df: DataFrame, column: str, weights: str | Sequence[float] | dict, order: Sequence[str] = (), name: str = "__weight") -> tuple[DataFrame, str]:
+    """The frame with its column of weights: a column's name, a dict from the column's values (others weigh 0), or a list, one
+    number for each row in an order."""
+    if isinstance(weights, str):
+        return df, weights
+    if isinstance(weights, dict):
+        pairs = [F.lit(x) for k, v in weights.items() for x in (k, float(v))]
+        return df.withColumn(name, F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(column)), F.lit(0.0))), name
+    rows = numbered_rows(df, list(order), "__n")
+    table = df.sparkSession.createDataFrame([(i, float(w)) for i, w in enumerate(weights)], f"__n long, {name} double")
+    if rows.count() != len(weights):
+        raise ValueError("as many weights as rows are needed")
+    return rows.join(table, "__n").drop("__n"), name
+
+
+def statistics(df: DataFrame, columns: Sequence[str], weights: str | Sequence[float] | dict | None = None, order: Sequence[str] = (), n: int = 30) -> DataFrame:
+    """One row for each column with all of STATISTICS as numbers, of times as microseconds since 1970 (std in days), and as
+    ``times`` the statistics of a time that are points in time; ``top``: the mode as text, for all kinds.
+
+    mode: the centre of the fullest bin of the automatic histogram (of equals the lowest) of numbers and times, the most
+    frequent category (the least of equals). A column without values has counts only.
+    """
+    if weights is not None and not isinstance(weights, str):
+        if len(columns) != 1:
+            raise ValueError("weights by list or dict are those of one column")
+        df, weights = weighted(df, columns[0], weights, order)
+    base = {r["column"]: r.asDict() for r in profile(df, columns, weights).collect()}
+    rows = []
+    for c in columns:
+        kind, found = kind_of(df, c), base[c]
+        if found["filled"] and kind != "category":
+            x = (micros(F.col(c)) if kind == "time" else F.col(c)).cast("double").alias("x")
+            values = nan_to_null(df.select(x, *([F.col(weights).alias("w")] if weights else [])))
+            if kind == "time":
+                found |= {k: found[k] * 86_400e6 for k in ("mean", "min", "max")}
+            found |= {f"p{round(r['p'] * 100):02d}": r["quantile"] for r in quantiles(values, "x", PROBABILITIES, "w" if weights else None).collect()}
+            best = auto_histogram(df, c, n).orderBy(F.desc("count"), "bin").first()
+            found["mode"] = (best["low"] + best["high"]) / 2 / (1000 if kind == "time" else 1)
+            found["top"] = str(found["mode"]) if kind == "numeric" else None
+        elif found["filled"]:
+            found["top"] = str(top(df, c, 1).first()[0])
+        times = {k: found.get(k) for k in STATISTICS[4:] if k != "std"} if kind == "time" and found["filled"] else {}
+        rows.append((c, kind, *[None if found.get(k) is None else float(found[k]) for k in STATISTICS], found.get("top"), {k: int(v) for k, v in times.items() if v is not None}))
+    out = df.sparkSession.createDataFrame(rows, "column string, kind string, " + ", ".join(f"{k} double" for k in STATISTICS) + ", top string, times map<string,long>")
+    return out.withColumn("times", F.transform_values("times", lambda _, v: F.timestamp_micros(v)))
 
 
 def group_profile(df: DataFrame, column: str, by: Sequence[str], weight: str | None = None) -> DataFrame:
@@ -148,5 +211,6 @@ def auto_histogram(df: DataFrame, column: str, n: int = 30, edges: Sequence[floa
 
 
 def mode(counts: DataFrame, key: str) -> DataFrame:
-    """The key of the largest count; of equals the least."""
-    return counts.agg(F.max(F.struct(F.col("count"), (-F.col(key)).alias("k"))).alias("m")).select((-F.col("m.k")).alias("mode"), F.col("m.count").alias("count"))
+    """The key of the largest count, of any type; of equals the least."""
+    best = F.min_by(F.struct(F.col(key).alias("mode"), "count"), F.struct(-F.col("count"), key)).alias("m")
+    return counts.agg(best).select("m.mode", "m.count")

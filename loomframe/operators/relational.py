@@ -7,7 +7,7 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,29 +37,59 @@ def apply(
     out: str | None = None,
     on: str | Sequence[str] | None = None,
     entire: bool = False,
-    returns: str = "double",
+    returns: str | None = None,
     **kwargs,
 ) -> DataFrame:
     """A function on a column (Column to Column, or a name in KNOWN), on a row of columns, or on the whole frame.
 
-    Where the function can't take a Column it becomes a pandas UDF over Series (one for each column of ``on``), in
-    Arrow batches, with the type ``returns``.
+    With a type ``returns`` the function is of pandas Series instead (one for each column of ``on``), as a pandas UDF in
+    Arrow batches. Without it a function that doesn't give a Column is an error, not a slower way.
     """
     if entire:
         result = func(df, **kwargs)
         return df.withColumn(out, result) if isinstance(result, Column) else result
+    if isinstance(func, str) and func not in KNOWN:
+        raise ValueError(f"no function {func!r}; register it first")
     func = KNOWN[func] if isinstance(func, str) else func
     names = [on] if isinstance(on, str) else list(on or df.columns)
     columns = [F.col(f"`{c}`") for c in names]
-    try:
-        result = func(*columns, **kwargs)
-        if not isinstance(result, Column):
-            raise TypeError
-    except (TypeError, ValueError, AttributeError):
-        result = F.pandas_udf(lambda *s: pd.Series(func(*s, **kwargs)), returns)(*columns)
+    if returns:
+        return df.withColumn(out or names[0], F.pandas_udf(lambda *s: pd.Series(func(*s, **kwargs)), returns)(*columns))
+    result = func(*columns, **kwargs)
+    if not isinstance(result, Column):
+        raise TypeError("the function gives no Column; name the type that it returns to run it over pandas Series")
     return df.withColumn(out or names[0], result)
 
 
+class Functions:
+    """Functions to apply in turn: the builder of ``apply`` with checks when a function is added."""
+
+    def __init__(self):
+        self.items: list[dict] = []
+
+    def add(self, func: Callable | str, out: str, on: str | Sequence[str] | None = None, returns: str | None = None, store: str | None = None, **kwargs) -> Functions:
+        """store: the result is a side result under this name, and the frame stays as it is."""
+        if not callable(func) and func not in KNOWN:
+            raise TypeError(f"{func!r} is neither a function nor the name of one")
+        if not isinstance(out, str) or not out:
+            raise TypeError("the new column needs a name")
+        if not (on is None or isinstance(on, str) or all(isinstance(c, str) for c in on)):
+            raise TypeError("columns are given by name")
+        self.items.append({"func": func, "out": out, "on": on, "returns": returns, "store": store, "kwargs": kwargs})
+        return self
+
+    def run(self, df: DataFrame) -> tuple[DataFrame, dict]:
+        """The frame after all functions, and the side results by name."""
+        aside = {}
+        for x in self.items:
+            made = apply(df, x["func"], x["out"], x["on"], returns=x["returns"], **x["kwargs"])
+            if x["store"]:
+                aside[x["store"]] = made.select(x["out"])
+            else:
+                df = made
+        return df, aside
+
+
 def apply_rows(df: DataFrame, func: Callable[[pd.DataFrame], pd.Series], out: str, columns: Sequence[str], returns: str = "double") -> DataFrame:
     """A function of a pandas frame of the columns to a series: one value for each row."""
     return df.withColumn(out, F.pandas_udf(lambda rows: func(rows), returns)(F.struct(*columns)))
@@ -96,11 +126,34 @@ def merge(
     suffixes: tuple[str, str] = ("_x", "_y"),
     null_safe: bool = True,
     indicator: bool = False,
+    left_on: Sequence[str] = (),
+    right_on: Sequence[str] = (),
+    validate: str | None = None,
 ) -> DataFrame:
     """Equi-join with one copy of the keys; inner, left, right or outer. Missing keys match each other if ``null_safe``.
 
-    Other columns that both sides have come from the left alone, or from both with suffixes.
+    Other columns that both sides have come from the left alone, or from both with suffixes. left_on and right_on, instead
+    of on: keys of different names, which both stay; of a row without a partner the other side's key is null. validate:
+    1:1, 1:m, m:1 or m:m; ValueError where the keys of a side marked 1 aren't unique (an aggregate of that side).
     """
+    if left_on or right_on:
+        left_on, right_on = ([x] if isinstance(x, str) else list(x) for x in (left_on, right_on))
+        if on or len(left_on) != len(right_on):
+            raise ValueError("give on, or as many keys left as right")
+        pairs = list(zip(left_on, right_on, strict=True))
+        made = [f"__key{k}" for k in range(len(pairs))]
+        a = left.select("*", *[F.col(x).alias(m) for (x, _), m in zip(pairs, made, strict=True)])
+        b = right.select("*", *[F.col(y).alias(m) for (_, y), m in zip(pairs, made, strict=True)])
+        out = merge(a, b, made, how, [*columns1, *made] if columns1 else (), [*columns2, *made] if columns2 else (), drop_duplicate_columns, suffixes, null_safe, indicator, validate=validate)
+        return out.drop(*made)
+    if validate:
+        ones = {"one_to_one": "1:1", "one_to_many": "1:m", "many_to_one": "m:1", "many_to_many": "m:m"}.get(validate, validate)
+        if ones not in ("1:1", "1:m", "m:1", "m:m"):
+            raise ValueError(f"no such check: {validate!r}")
+        for side, mark, name in ((left, ones[0], "left"), (right, ones[2], "right")):
+            keys = [on] if isinstance(on, str) else list(on)
+            if mark == "1" and not side.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+                raise ValueError(f"the keys of the {name} side aren't unique")
     if how not in ("inner", "left", "right", "outer"):
         raise ValueError(f"no such join: {how!r}")
     on = [on] if isinstance(on, str) else list(on)
@@ -124,13 +177,14 @@ def merge(
     return out.select(*keys, *[c for c in left.columns if c not in on], *[c for c in right.columns if c not in on], *([flag] if indicator else []))
 
 
-def concat(frames: Sequence[DataFrame | None], join: str = "outer", ignore_missing: bool = False) -> DataFrame | None:
-    """All rows of all frames, columns by name: all of them (missing ones null), or those that all frames have."""
+def concat(frames: Sequence[DataFrame | None], join: str = "outer", ignore_missing: bool = False) -> DataFrame:
+    """All rows of all frames, columns by name: all of them (missing ones null), or those that all frames have.
+    Where all are missing and that is ignored, a frame without rows and columns."""
     found = [f for f in frames if f is not None]
     if len(found) < len(frames) and not ignore_missing:
         raise ValueError("a frame to concatenate is missing")
     if not found:
-        return None
+        return SparkSession.active().createDataFrame([], T.StructType([]))
     if join == "inner":
         names = [c for c in found[0].columns if all(c in f.columns for f in found)]
         found = [f.select(*names) for f in found]
@@ -143,17 +197,39 @@ def concat_columns(frames: Sequence[DataFrame], order: Sequence[str]) -> DataFra
     return reduce(lambda a, b: a.join(b, "__row_id", "full"), numbered).drop("__row_id")
 
 
-def running_sum(df: DataFrame, order: Sequence[str | Column], value: Column, out: str) -> DataFrame:
-    """A running sum in an order, without a window over one partition: a range partitioning sorts, then each partition
-    adds the sum of those before it (one row for each partition is all that meets in one place).
+#: Sampled keys for each part of a running sum, and how many parts there are at most.
+SAMPLED, PARTS = 40, 512
+
+
+def range_part(df: DataFrame, order: Sequence[str | Column]) -> Column:
+    """The number of a row's part in an order, by bounds from a bounded random sample of the keys.
 
-    The partitioning is persisted, as its bounds are sampled: both uses must see the same one.
+    The bounds are literals, found by halving: wherever this expression is used, a row is in the same part. Rows of
+    equal keys are in one part.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.withColumn("_v", value).repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).persist()
+    key = F.struct(*order)
+    n = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), PARTS)
+    found = df.select(key.alias("k")).orderBy(F.rand(11)).limit(SAMPLED * n).agg(F.array_sort(F.collect_list("k")).alias("k")).first()["k"]
+    bounds = list(dict.fromkeys(found[k * len(found) // n] for k in range(1, n))) if found else []
+    types = df.select(key.alias("k")).schema["k"].dataType
+
+    def half(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        bound = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(bounds[mid], types.fields, strict=True)])
+        return F.when(key >= bound, half(mid + 1, hi)).otherwise(half(lo, mid))
+
+    return half(0, len(bounds))
+
+
+def running_sum(df: DataFrame, order: Sequence[str | Column], value: Column, out: str) -> DataFrame:
+    """A running sum in an order, without a window over one partition: rows go to parts by ranges of the order, and each
+    part adds the sum of those before it (one row for each part is all that meets in one place)."""
+    ordered = df.withColumns({"_v": value, "_part": range_part(df, order)})
     local = ordered.withColumn("_s", F.sum("_v").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     sums = ordered.groupBy("_part").agg(F.sum("_v").alias("_c"))
-    before = sums.select(F.col("_part").alias("_p"), (F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).alias("_b"))
+    before = sums.select(F.col("_part").alias("_p"), (F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).alias("_b"))  # at most PARTS rows
     return local.join(F.broadcast(before), F.col("_part") == F.col("_p")).withColumn(out, F.col("_s") + F.col("_b")).drop("_v", "_part", "_p", "_s", "_b")
 
 
@@ -229,3 +305,15 @@ def bootstrap(df: DataFrame, size: int, order: Sequence[str], seed: int = 0) ->
 def unit(key: str | Column, seed: int) -> Column:
     """A number in [0, 1) that depends on key and seed alone, however rows are partitioned."""
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 53)) / F.lit(float(1 << 53))
+
+
+class Splitter:
+    """``random_class`` with a seed of its own for each execution: the settings' seed, then one more each time."""
+
+    def __init__(self, key: Sequence[str], fractions: Sequence[float] = (), counts: Sequence[int] = (), classes: int | None = None, seed: int = 1, column: str = "randomclass"):
+        self.key, self.fractions, self.counts, self.classes, self.seed, self.column, self.executions = list(key), fractions, counts, classes, seed, column, 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        seed = self.seed + self.executions
+        self.executions += 1
+        return random_class(df, self.key, split_sizes(df.count(), self.fractions, self.counts, self.classes), seed, self.column)

@@ -105,6 +105,15 @@ class Stage:
         return None
 
 
+class Embed(Stage):
+    """An interactive console in the middle of a chain."""
+
+    def execute(self, ds):
+        import code
+
+        code.interact(local={"ds": ds})
+
+
 class Apply(Stage):
     """A function of frames (and other objects) of the store, to a frame or several."""
 
@@ -114,7 +123,7 @@ class Apply(Stage):
         self.store = self.read[:1] if not store else [store] if isinstance(store, str) else list(store)
 
     def execute(self, ds):
-        found = self.func(*[ds[k] for k in self.read], **self.kwargs)
+        found = self.func(*[ds.get(k) if k not in ds and not k.startswith("n_") else ds[k] for k in self.read], **self.kwargs)
         for k, v in zip(self.store, [found] if len(self.store) == 1 else found, strict=True):
             ds[k] = v
 
@@ -153,7 +162,7 @@ class Write(Stage):
 
     def execute(self, ds):
         for key, path in self.paths.items():
-            io.write(ds.frame(key), path, self.writer, self.n if self.count else None, self.results, **self.options)
+            io.write(ds.frame(key), path, self.writer, self.n if self.count else None, self.results, ds.get("fork"), **self.options)
         self.n += 1
 
 
@@ -204,6 +213,75 @@ class Accumulate(Stage):
             ds[self.store] = reduce(lambda a, b: a + b, self.parts)
 
 
+class Fork(Stage):
+    """Stages run for each of several workers' files, over a store of its own each; the results are reduced under one name.
+
+    Each worker has its slice of the files as one frame, its number as ``fork``, and a copy of the store otherwise. Spark runs
+    the tasks of one worker's frame on all executors, so the workers follow each other.
+    """
+
+    def __init__(self, spark: SparkSession, slices: io.Slices, key: str, stages: Sequence[Stage], collect: str, store: str, func: Callable[[DataFrame, DataFrame], DataFrame] | None = None, reader=None, **options):
+        super().__init__()
+        self.spark, self.slices, self.key, self.stages, self.collect, self.store = spark, slices, key, stages, collect, store
+        self.func, self.reader, self.options = func or (lambda a, b: relational.concat([a, b])), reader, options
+
+    def execute(self, ds):
+        parts = []
+        for worker in range(self.slices.workers):
+            own = Store(ds)
+            own["fork"] = worker
+            own[self.key] = io.read(self.spark, self.slices.of(worker), self.reader, **self.options)
+            Chain(f"{self.name}-{worker}", self.stages).run(own)
+            parts.append(own[self.collect])
+        if parts:
+            ds[self.store] = reduce(self.func, parts)
+
+
+class Split(Stage):
+    """Rows dealt to classes; the seed is the settings' and one more for each execution."""
+
+    def __init__(self, read: str, store: str, key: Sequence[str], seed: int = 1, **options):
+        super().__init__()
+        self.read, self.store, self.split = read, store, relational.Splitter(key, seed=seed, **options)
+
+    def execute(self, ds):
+        ds[self.store] = self.split(ds.frame(self.read))
+
+
+class LineLoop(Stage):
+    """Lines of a file through functions, one after the other: each maps a Column of text; empty results go."""
+
+    def __init__(self, read: str, store: str, functions: Sequence[Callable] = (), column: str = "value"):
+        super().__init__()
+        self.read, self.store, self.functions, self.column = read, store, functions, column
+
+    def execute(self, ds):
+        line = reduce(lambda c, f: f(c), self.functions, F.col(self.column))
+        ds[self.store] = ds.frame(self.read).select(line.alias(self.column)).where(F.coalesce(F.length(self.column), F.lit(0)) > 0)
+
+
+class Import(Stage):
+    """The store that another run has left, into this one."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        super().__init__()
+        self.spark, self.folder = spark, folder
+
+    def execute(self, ds):
+        for k, v in Store.load(self.spark, self.folder).items():
+            ds[k] = v
+
+
+class Hello(Stage):
+    def __init__(self, to: str = "World", times: int = 1):
+        super().__init__()
+        self.to, self.times = to, times
+
+    def execute(self, ds):
+        for _ in range(self.times):
+            print(f"Hello {self.to}")
+
+
 class Delete(Stage):
     def __init__(self, keys: Sequence[str] = (), keep_only: Sequence[str] | None = None):
         super().__init__()

@@ -8,10 +8,11 @@ from importlib import resources as _resources
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomframe.operators.relational import concat
+from loomframe.operators.relational import concat, numbered_rows
 
 
 class AmbiguousFileType(ValueError):
@@ -32,26 +33,42 @@ def _frame(spark: SparkSession, pdf: pd.DataFrame) -> DataFrame:
     return out
 
 
+def _typed(spark: SparkSession, pdf: pd.DataFrame, types: str | None, restore_index: bool) -> DataFrame:
+    """The frame with the types that were kept, and the index as a first column if it is wanted."""
+    index = [_INDEX] if restore_index and _INDEX in pdf.columns else []
+    out = _frame(spark, pdf[[*index, *[c for c in pdf.columns if c != _INDEX]]])
+    if not types:
+        return out
+    kept = T.StructType.fromJson(json.loads(types))
+    return out.select(*index, *[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in kept])
+
+
 def _numpy(spark: SparkSession, path: str, restore_index: bool = False, **_) -> DataFrame:
-    """.npy: a record array; .npz: one array for each column. Types are the arrays' own; texts are never unpickled."""
+    """.npy: a record array; .npz: one array for each column. Types are those that the writer kept, else the arrays' own; texts
+    are never unpickled. Another extension is an error: what a file without one holds can't be told."""
     import numpy as np
 
+    kind = Path(path).suffix.lower()
+    if kind not in (".npy", ".npz"):
+        raise (UnhandledFileType if kind else AmbiguousFileType)(f"{path!r} is neither .npy nor .npz")
     data = np.load(_local(path), allow_pickle=False)
-    pdf = pd.DataFrame({c: data[c] for c in (data.dtype.names if hasattr(data, "dtype") else data.files)})
+    names = data.dtype.names if hasattr(data, "dtype") else [x for x in data.files if x != _TYPES]
+    pdf = pd.DataFrame({c: data[c] for c in names})
     for c in pdf.columns:
         if pdf[c].dtype.kind == "S":
             pdf[c] = pdf[c].str.decode("utf-8")
-        elif pdf[c].dtype.kind == "U":
-            pdf[c] = pdf[c].astype(object)
-    return _frame(spark, pdf if restore_index else pdf.drop(columns="__index__", errors="ignore"))
+    for c in pdf.columns:
+        if data[c].dtype.kind in "US":
+            pdf[c] = pdf[c].astype(object).where(pdf[c] != "\ue000", None)
+    return _typed(spark, pdf, str(data[_TYPES]) if not hasattr(data, "dtype") and _TYPES in data.files else None, restore_index)
 
 
 def _feather(spark: SparkSession, path: str, restore_index: bool = False, **_) -> DataFrame:
     import pyarrow.feather
 
     table = pyarrow.feather.read_table(_local(path))
-    keep = [c for c in table.column_names if restore_index or c != "__index__"]
-    return spark.createDataFrame(table.select(keep).to_pandas())
+    kept = (table.schema.metadata or {}).get(_TYPES.encode())
+    return _typed(spark, table.to_pandas(), kept.decode() if kept else None, restore_index)
 
 
 def _native(kind: str, **defaults) -> Callable[..., DataFrame]:
@@ -156,20 +173,33 @@ def read_each(spark: SparkSession, path: str | Sequence[str], name: str | None =
 
 def with_chunks(df: DataFrame, size: int, order: Sequence[str], file: str | None = None) -> DataFrame:
     """A column chunk: rows numbered in blocks of ``size`` in an order, within each file (a column that names it), so that no
-    chunk spans two files."""
-    by = Window.partitionBy(file) if file else Window.partitionBy(F.lit(0))
-    return df.withColumn("chunk", F.floor((F.row_number().over(by.orderBy(*order)) - 1) / size).cast("long"))
+    chunk spans two files. Numbered by parts, whatever the size of a file."""
+    rows = numbered_rows(df, [*([file] if file else []), *order], "_n")
+    if file:
+        first = rows.groupBy(F.col(file).alias("_f")).agg(F.min("_n").alias("_first"))
+        rows = rows.join(F.broadcast(first), F.col(file).eqNullSafe(F.col("_f"))).withColumn("_n", F.col("_n") - F.col("_first")).drop("_f", "_first")
+    return rows.withColumn("chunk", F.floor(F.col("_n") / size).cast("long")).drop("_n")
 
 
 def read_chunks(spark: SparkSession, path: str | Sequence[str], size: int, name: str | None = None, **options) -> Iterator[DataFrame]:
-    """Blocks of ``size`` rows of each file in turn; none spans files, empty ones are left out."""
+    """Blocks of ``size`` rows of each file in turn; none spans files, empty ones are left out.
+
+    A row's place is that of its block of the file and within it; each pass reads those rows alone. (Where passes aren't
+    wanted for their own sake, ``read`` is one distributed frame.)
+    """
     for df in read_each(spark, path, name, **options):
-        numbered = df.withColumn("_n", F.monotonically_increasing_id()).persist()
-        total = numbered.count()
-        ranked = numbered.withColumn("_r", F.row_number().over(Window.orderBy("_n")) - 1) if total else numbered
-        for lo in range(0, total, size):
+        placed = df.select("*", F.monotonically_increasing_id().alias("_n"))
+        bits = 33  # the upper bits are the partition, the lower count its rows
+        counts = {r[0]: r[1] for r in placed.groupBy(F.shiftright("_n", bits).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        first, upto = {}, 0
+        for part in sorted(counts):
+            first[part], upto = upto, upto + counts[part]
+        if not upto:
+            continue
+        starts = F.create_map(*[F.lit(x) for part, n in first.items() for x in (part, n)])
+        ranked = placed.withColumn("_r", F.element_at(starts, F.shiftright("_n", bits)) + F.col("_n") % (1 << bits))
+        for lo in range(0, upto, size):
             yield ranked.where((F.col("_r") >= lo) & (F.col("_r") < lo + size)).drop("_n", "_r")
-        numbered.unpersist()
 
 
 def file_slice(paths: Sequence[str], index: int, size: int) -> list[str]:
@@ -177,6 +207,25 @@ def file_slice(paths: Sequence[str], index: int, size: int) -> list[str]:
     return list(paths[size * index : size * (index + 1)])
 
 
+class Slices:
+    """The files dealt to workers in slices of ``size``; once ``lock``ed, the paths don't change."""
+
+    def __init__(self, paths: Sequence[str] = (), size: int = 1):
+        self.paths, self.size, self.locked = list(paths), size, False
+
+    def configure(self, paths: Sequence[str], lock: bool = False) -> None:
+        if self.locked and list(paths) != self.paths:
+            raise RuntimeError("the paths are locked")
+        self.paths, self.locked = list(paths), self.locked or lock
+
+    def of(self, worker: int) -> list[str]:
+        return file_slice(self.paths, worker, self.size)
+
+    @property
+    def workers(self) -> int:
+        return -(-len(self.paths) // self.size)
+
+
 def _write_native(kind: str, **defaults):
     def write(df: DataFrame, path: str, mode: str = "overwrite", **options) -> None:
         df.write.mode(mode).format(kind).options(**defaults | options).save(path)
@@ -191,26 +240,34 @@ def _write_pandas(name: str, **defaults):
     return write
 
 
+#: What numpy and feather files keep besides: the columns' Spark types, so that dates, decimals and nulls come back as they were.
+_TYPES, _INDEX = "__types__", "__index__"
+
+
+def _with_index(df: DataFrame, store_index: bool) -> pd.DataFrame:
+    pdf = df.toPandas()
+    return pdf.rename_axis(_INDEX).reset_index() if store_index else pdf
+
+
 def _write_numpy(df: DataFrame, path: str, mode: str = "overwrite", store_index: bool = False, **_) -> None:
     import numpy as np
 
-    pdf = df.toPandas()
-    if store_index:
-        pdf = pdf.rename_axis("__index__").reset_index()
-    arrays = {c: (pdf[c].astype("U") if pdf[c].dtype == object else pdf[c]).to_numpy() for c in pdf.columns}
-    arrays = {c: a.astype("U") if a.dtype == object else a for c, a in arrays.items()}
+    pdf = _with_index(df, store_index)
+    texts = [c for c in pdf.columns if pdf[c].dtype == object or str(pdf[c].dtype) in ("str", "string")]
+    arrays = {c: (pdf[c].where(pdf[c].notna(), "\ue000").astype(str).to_numpy().astype("U") if c in texts else pdf[c].to_numpy()) for c in pdf.columns}
     if path.endswith(".npy"):
         np.save(_local(path), np.rec.fromarrays(list(arrays.values()), names=list(arrays)))
     else:
-        np.savez(_local(path), **arrays)
+        np.savez(_local(path), **arrays, **{_TYPES: np.array(json.dumps(df.schema.jsonValue()))})
 
 
 def _write_feather(df: DataFrame, path: str, mode: str = "overwrite", store_index: bool = False, **_) -> None:
     import pyarrow as pa
     import pyarrow.feather
 
-    pdf = df.toPandas()
-    pyarrow.feather.write_feather(pa.Table.from_pandas(pdf.rename_axis("__index__").reset_index() if store_index else pdf, preserve_index=False), _local(path))
+    table = pa.Table.from_pandas(_with_index(df, store_index), preserve_index=False)
+    types = {_TYPES.encode(): json.dumps(df.schema.jsonValue()).encode()}
+    pyarrow.feather.write_feather(table.replace_schema_metadata((table.schema.metadata or {}) | types), _local(path))
 
 
 def _write_sql(df: DataFrame, path: str, mode: str = "overwrite", connection: str | dict | None = None, **_) -> None:
@@ -240,11 +297,13 @@ WRITERS: dict[str, Callable[..., None]] = {
 }
 
 
-def write(df: DataFrame, path: str, name: str | Callable | None = None, counter: int | None = None, results: str | None = None, **options) -> str:
-    """Writes by function, name or extension; a bare file name goes to the results folder, a counter before the extension."""
-    if counter is not None:
-        p = Path(path)
-        path = str(p.with_name(f"{p.stem}_p{counter}{p.suffix}"))
+def write(df: DataFrame, path: str, name: str | Callable | None = None, counter: int | None = None, results: str | None = None, fork: int | None = None, **options) -> str:
+    """Writes by function, name or extension; a bare file name goes to the results folder, the number of the execution and
+    that of the worker before the extension."""
+    for mark, number in (("p", counter), ("f", fork)):
+        if number is not None:
+            p = Path(path)
+            path = str(p.with_name(f"{p.stem}_{mark}{number}{p.suffix}")) if "://" not in path else f"{path.removesuffix(p.suffix)}_{mark}{number}{p.suffix}"
     if results and "/" not in path:
         path = f"{results.rstrip('/')}/{path}"
     if name is not None and not callable(name) and name not in WRITERS:
@@ -254,13 +313,31 @@ def write(df: DataFrame, path: str, name: str | Callable | None = None, counter:
     return path
 
 
+#: Kinds of resources: the folder of this package that holds them.
+RESOURCES = {"data": "data", "template": "templates", "tutorial": "tutorials", "config": "config"}
+
+
 def resource(name: str, kind: str = "data") -> Path:
-    """A file of this package."""
-    at = Path(str(_resources.files("loomframe"))) / kind / name
+    """A file that this package comes with, by kind."""
+    if kind not in RESOURCES:
+        raise ValueError(f"no such kind: {kind!r}")
+    at = Path(str(_resources.files("loomframe"))) / RESOURCES[kind] / name
     if not at.exists():
         raise FileNotFoundError(f"no {kind} {name!r}")
     return at
 
 
-def save_schema(df: DataFrame, path: str) -> None:
-    Path(_local(path)).write_text(json.dumps(df.schema.jsonValue()))
+def fixture(name: str) -> Path:
+    return resource(name, "data")
+
+
+def template(name: str) -> Path:
+    return resource(name, "template")
+
+
+def tutorial(name: str) -> Path:
+    return resource(name, "tutorial")
+
+
+def config(name: str) -> Path:
+    return resource(name, "config")
