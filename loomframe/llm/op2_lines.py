@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,15 +11,18 @@ from pyspark.sql import functions as F
 from loomframe.llm.common import BLANKS, banded_components, discard, documents, let, materialize, nodes_of, release, text_keys
 
 #: Shingles: so many characters from every character; a shorter line is one. In UTF-32 a character has WIDTH bytes, so
-#: that a shingle is cut out of a line in constant time.
-CHARS, PERCENT, WIDTH = 8, 80, 4
+#: that a shingle is cut out of a line in constant time. For signatures UNIT bytes of UTF-16 are one: a character beyond
+#: them counts twice there, by which altered copies are more alike, not less.
+CHARS, PERCENT, WIDTH, UNIT = 8, 80, 4, 2
 #: Each band is three of 2 * BANDS MinHash slots: one of its own and two that it shares with the bands before and after it.
 #: A pair of similarity 0.8 shares none with a chance of 0.4 %, one of 0.9 with 1 in 10,000.
 BANDS = 10
 #: So many shingles go through the slots in one row.
 STRIDE = 4
-#: Nodes of a key that are still apart are compared in parts of about so many.
-BLOCK = 64
+#: Nodes of a key that are still apart are compared with parts of about so many.
+BLOCK = 2048
+#: A parity sketch has so many words of 64 bits.
+WORDS = 16
 _RANDOM = random.Random(20)
 _SLOTS = [_RANDOM.getrandbits(64) - (1 << 63) for _ in range(2 * BANDS)]
 
@@ -65,15 +69,15 @@ def signatures(lines: DataFrame) -> DataFrame:
     Shingles are rows of generated code, not arrays: a slot is the least of their hashes after an exclusive or with its
     own constant, which is a permutation; an aggregate with partial sums takes it.
     """
-    size = CHARS * WIDTH
-    last = F.octet_length("code") - size + 1
-    starts = F.sequence(F.lit(1), F.greatest(last, F.lit(1)), F.lit(WIDTH * STRIDE))
-    rows = lines.select("h1", "h2", F.encode("line", "UTF-32").alias("code")).select("h1", "h2", "code", F.explode(starts).alias("i"))
+    size = CHARS * UNIT
+    last = F.greatest(F.octet_length("code") - size + 1, F.lit(1))
+    starts = F.sequence(F.lit(1), last, F.lit(UNIT * STRIDE))
+    rows = lines.select("h1", "h2", F.encode("line", "UTF-16BE").alias("code")).select("h1", "h2", "code", F.explode(starts).alias("i"))
 
     def shingle(k: int) -> Column:
-        at = F.col("i") + k * WIDTH
-        hashed = F.xxhash64(F.substring(F.col("code"), at, F.lit(size)))
-        return (F.when(at <= last, hashed) if k else hashed).alias(f"x{k}")
+        # beyond the last one the last one again, so that there are no nulls to look for
+        at = F.least(F.col("i") + k * UNIT, last) if k else F.col("i")
+        return F.xxhash64(F.substring(F.col("code"), at, F.lit(size))).alias(f"x{k}")
 
     rows = rows.select("h1", "h2", "i", *[shingle(k) for k in range(STRIDE)])
     slots = [F.min(F.least(*[F.col(f"x{k}").bitwiseXOR(F.lit(c)) for k in range(STRIDE)])).alias(f"s{j}") for j, c in enumerate(_SLOTS)]
@@ -82,6 +86,27 @@ def signatures(lines: DataFrame) -> DataFrame:
     return found.select("h1", "h2", "n", F.array(*keys).alias("keys"))
 
 
+def parities(texts: DataFrame) -> DataFrame:
+    """node, n (the size of its shingle set) and the words p0, p1 ... of its parity sketch, of rows (node, line).
+
+    A bit of the sketch is the parity of the shingles that fall on it, so that the exclusive or of two sketches is the sketch
+    of the symmetric difference, and its bits that are set are no more than that difference has shingles.
+    """
+    rows = texts.select("node", F.explode(shingle_set(F.col("line"))).alias("h"))
+    bit, word = F.expr("shiftleft(1L, cast(h & 63 as int))"), F.expr(f"shiftrightunsigned(h, 6) % {WORDS}")
+    rows = rows.select("node", bit.alias("bit"), word.alias("word"))
+    words = [F.bit_xor(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0))).alias(f"p{w}") for w in range(WORDS)]
+    return rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *words)
+
+
+def may_link(x: str, y: str, percent: int) -> Column:
+    """False only for pairs that can't be links, by the sizes and sketches in columns of these prefixes: a set of m shingles and one of n
+    have a similarity of (m + n - d) / (m + n + d), d the size of their symmetric difference, and d isn't below the sketches' difference."""
+    d = reduce(Column.__add__, [F.bit_count(F.col(f"{x}p{w}").bitwiseXOR(F.col(f"{y}p{w}"))) for w in range(WORDS)])
+    m, n = F.col(f"{x}n"), F.col(f"{y}n")
+    return (F.least(m, n) * 100 >= F.greatest(m, n) * percent) & (d * (100 + percent) <= (m + n) * (100 - percent))
+
+
 def line_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_key, line_no, first_doc_id, first_line_no and kept for every line that has a copy or near copy.
 
@@ -117,40 +142,24 @@ def line_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         return links
 
     def compare(rest: DataFrame) -> DataFrame:
-        """In blocks: the nodes of a key in parts of some BLOCK, each part with itself and with each other part, so that a node's
-        set is made once for a part and not for each pair. Two nodes are compared in the first key that they share."""
-        every = rest.groupBy("node").agg(F.collect_set("key").alias("keys"))
-        count = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-        one = F.struct("node", "c", (F.col("c") != F.col("main")).alias("stray"), "keys", "line").alias("x")
-        rows = rest.join(placed[1], "node").join(every, "node").join(count, "key")
-        rows = rows.select("key", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), one)
-        parts = materialize(rows.groupBy("key", "parts", "part").agg(F.collect_list("x").alias("xs")), "line-parts")
+        """Each stray with all nodes of its key, in parts of some BLOCK of these; sketches inside the join let only pairs out that may be links."""
+        count = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+        sketches = materialize(parities(placed[1].join(rest.select("node").distinct(), "node", "left_semi")), "line-parities")
+        rows = rest.join(sketches, "node").join(count, "key")
+        rows = materialize(rows.withColumn("stray", F.col("c") != F.col("main")).drop("main"), "line-rest")
+        discard(sketches)
         release(spark)
-
-        def with_sets(xs: Column) -> Column:
-            return F.transform(xs, lambda x: F.struct(*[x[k].alias(k) for k in ("node", "c", "stray", "keys")], shingle_set(x["line"]).alias("set")))
-
-        def links(x: Column, ys: Column, same: Column) -> Column:
-            def near(y: Column) -> Column:
-                apart = (x["c"] != y["c"]) & (x["stray"] | y["stray"]) & (~same | (x["node"] < y["node"]))
-                here = F.array_min(F.array_intersect(x["keys"], y["keys"])) == F.col("key")
-                return F.when(apart, F.when(here, alike(x["set"], y["set"], percent)).otherwise(F.lit(False))).otherwise(F.lit(False))
-
-            found = F.array_distinct(F.transform(F.filter(ys, near), lambda y: y["c"]))
-            return F.transform(found, lambda c: F.struct(F.greatest(x["node"], c).alias("a"), F.least(x["node"], c).alias("b")))
-
-        def between(xs: Column, ys: Column, same: Column) -> Column:
-            return F.flatten(F.transform(xs, lambda x: links(x, ys, same)))
-
-        alone = parts.where("parts = 1").select(let(with_sets(F.col("xs")), lambda v: between(v, v, F.lit(True))).alias("links"), "key")
-        left = parts.where("parts > 1").select("key", F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"), "xs")
-        right = parts.where("parts > 1").select("key", F.explode(F.sequence(F.lit(0).cast("long"), "part")).alias("i"), F.col("part").alias("j"), F.col("xs").alias("ys"))
-        crossed = let(with_sets(F.col("xs")), lambda v: let(with_sets(F.col("ys")), lambda w: between(v, w, F.col("i") == F.col("j"))))
-        both = left.join(right, ["key", "i", "j"]).select(crossed.alias("links"), "key")
-        out = alone.select("links").unionByName(both.select("links")).select(F.explode("links").alias("l")).select("l.a", "l.b").distinct()
-        out = materialize(out, "line-links")
-        discard(parts)
-        return out
+        x = rows.where("stray").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        y = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        x, y = (t.select("key", "part", *[F.col(c).alias(f"{k}{c}") for c in t.columns if c not in ("key", "part", "parts")]) for k, t in (("x", x), ("y", y)))
+        # two strays are compared once; a node beside the strays is of the main component
+        apart = (F.col("xc") != F.col("yc")) & (~F.col("ystray") | (F.col("xnode") < F.col("ynode")))
+        both = x.join(y.withColumnsRenamed({"key": "ykey", "part": "ypart"}), (F.col("key") == F.col("ykey")) & (F.col("part") == F.col("ypart")) & apart & may_link("x", "y", percent))
+        likely = materialize(both.select(F.greatest("xnode", "ynode").alias("a"), F.least("xnode", "ynode").alias("b")).distinct(), "line-likely")
+        discard(rows)
+        links = verify(likely)
+        discard(likely)
+        return links
 
     groups = banded_components(one.select("node", F.explode("keys").alias("key")), verify, compare, "line-groups")
     places, texts = placed
