@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,7 +70,7 @@ def segments(data: np.ndarray, length: int = LENGTH, block: int = 1 << 19) -> tu
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Order of all suffixes by their first ``depth`` codes or more, and the ranks by the first 7, 14, 28 ... codes.
+    """Order of all suffixes by their first ``depth`` codes or more, equal ones in any order, and the ranks by the first 7, 14, 28 ... codes.
 
     Prefix doubling: the rank by 2k codes is the rank of the pair of ranks by k codes. Codes are below 512.
     """
@@ -79,7 +81,7 @@ def suffix_array(codes: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[
         key = (key << 9) | padded[k : k + n]
     levels = []
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         by = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(by[1:] != by[:-1])]) + 1
@@ -203,20 +205,27 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the wanted segments of each text."""
+    """The bytes of the wanted segments of each text, in batches of some BLOCK bytes."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+
+    def out(rows: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names=["anchor", "doc", "start", "open", "bytes"])
+
     for batch in batches:
-        for doc, value, wanted in zip(*batch.columns, strict=True):
-            text, wanted = value.as_py().encode(), wanted.as_py()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([w["anchor"] for w in wanted], pa.int64()),
-                    pa.array([doc.as_py()] * len(wanted), pa.int64()),
-                    pa.array([w["start"] for w in wanted], pa.int64()),
-                    pa.array([w["open"] for w in wanted], pa.bool_()),
-                    pa.array([text[w["start"] : w["start"] + w["more"] + LENGTH] for w in wanted], pa.binary()),
-                ],
-                names=["anchor", "doc", "start", "open", "bytes"],
-            )
+        rows, size = [[], [], [], [], []], 0
+        listed = batch.column(2).flatten()
+        fields = iter(zip(*(listed.field(k).to_pylist() for k in ("anchor", "start", "more", "open")), strict=True))
+        for doc, value, n in zip(batch.column(0).to_pylist(), batch.column(1), pc.list_value_length(batch.column(2)).to_pylist(), strict=True):
+            text = value.as_py().encode()
+            for anchor, start, more, open_ in islice(fields, n):
+                for row, x in zip(rows, (anchor, doc, start, open_, text[start : start + more + LENGTH]), strict=True):
+                    row.append(x)
+                size += more + LENGTH
+                if size >= BLOCK:
+                    yield out(rows)
+                    rows, size = [[], [], [], [], []], 0
+        if size:
+            yield out(rows)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +254,7 @@ def _ranges(held: list[tuple[int, int, bool, bytes]]) -> pa.RecordBatch:
     hashes = window_hashes(whole, LENGTH)
     inside = np.concatenate([np.arange(b, b + n - LENGTH + 1) for b, n in zip(begins, sizes, strict=True)])
     own = hashes[inside]
-    order = np.argsort(own, kind="stable")
+    order = np.argsort(own)
     by = own[order]
     twin = np.zeros(len(by), bool)
     twin[1:] = by[1:] == by[:-1]
@@ -271,17 +280,21 @@ def _ranges(held: list[tuple[int, int, bool, bytes]]) -> pa.RecordBatch:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two 64-bit hashes of every window of the segments."""
-    for batch in batches:
-        for doc, start, open_, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            raw = np.frombuffer(data, np.uint8)
-            n = len(raw) - LENGTH + 1
+    """Two 64-bit hashes of every window of the segments, which are short: those of many segments are made at once."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, HOT):
+            doc, start, open_, data = whole.slice(lo, HOT).columns
+            raw = np.frombuffer(b"".join(data.to_pylist()), np.uint8)
+            sizes = pc.binary_length(data).to_numpy(zero_copy_only=False).astype(np.int64)
+            n = sizes - LENGTH + 1
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)  # of a segment's windows
+            inside = np.repeat(np.cumsum(sizes) - sizes, n) + nth
             yield pa.RecordBatch.from_arrays(
                 [
-                    *[pa.array(window_hashes(raw, LENGTH, k).view(np.int64)) for k in (0, 1)],
-                    pa.array(np.full(n, doc)),
-                    pa.array(np.arange(start, start + n)),
-                    pa.array(np.full(n, open_)),
+                    *[pa.array(window_hashes(raw, LENGTH, k)[inside].view(np.int64)) for k in (0, 1)],
+                    pa.array(np.repeat(doc.to_numpy(), n)),
+                    pa.array(np.repeat(start.to_numpy(), n) + nth),
+                    pa.array(np.repeat(open_.to_numpy(zero_copy_only=False), n)),
                 ],
                 names=["w1", "w2", "doc", "at", "open"],
             )
