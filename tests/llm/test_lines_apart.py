@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from loomframe.llm import op2_lines
 
 
@@ -46,3 +47,15 @@ def test_many_lines_apart(spark, monkeypatch, block):
     found = {r.doc_id: r.first_doc_id for r in op2_lines.line_groups(rows).collect()}
     assert all(found[2000 + k] == found[100 * k] for k in range(20))
     assert time.time() - began < 40  # 72 s when sets were compared for every pair, 10 s with sketches
+
+
+def test_stage_of_the_pipeline_on_many_lines_apart(spark, sf_dir):
+    rng = random.Random(7)
+    base = [f"{rng.randrange(10**7):07d}" for _ in range(60)]
+    lines = [" ".join(altered(rng, base, 9)) for _ in range(2000)]
+    lines += [x[:-1] + "#" for x in lines[::100]]
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
+    began = time.time()
+    left = {r.doc_id for r in dict(corpus_pipeline.STAGES)["line dedup"](spark, rows, sf_dir).collect()}
+    assert not left & set(range(2000, 2020)) and set(range(0, 2000, 100)) & left
+    assert time.time() - began < 40
