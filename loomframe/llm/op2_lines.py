@@ -36,31 +36,38 @@ def normal(line: Column) -> Column:
 
 
 def shingle_set(line: Column) -> Column:
-    """Distinct hashes of the shingles from every character."""
+    """Distinct hashes of the shingles from every character. Only the hashes are made in a lambda, which is interpreted."""
     size = CHARS * WIDTH
 
     def of(code: Column) -> Column:
         at = F.sequence(F.lit(1), F.greatest(F.octet_length(code) - size + 1, F.lit(1)), F.lit(WIDTH))
-        return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.substring(code, i, F.lit(size)))))
+        return F.transform(at, lambda i: F.xxhash64(F.substring(code, i, F.lit(size))))
 
-    return let(F.encode(line, "UTF-32"), of)
+    return F.array_distinct(let(F.encode(line, "UTF-32"), of))
 
 
-def alike(x: Column, y: Column, percent: int) -> Column:
-    """Whether the Jaccard similarity of two sets is large enough; by their sizes first."""
-    m, n = F.size(x), F.size(y)
-    shared = let(F.size(F.array_intersect(x, y)), lambda k: k * 100 >= (m + n - k) * percent)
-    return F.when(F.least(m, n) * 100 >= F.greatest(m, n) * percent, shared).otherwise(F.lit(False))
+def links_of(pairs: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of rows (a, b, la, lb) whose lines' shingle sets have a Jaccard similarity of ``percent`` hundredths or more.
+
+    Sets are made, intersected and judged in projections of their own, once and by generated code: in a lambda they would be
+    interpreted, and a filter would be pushed below them and make them again. Nothing is pushed below an explode.
+    """
+    sets = pairs.select("a", "b", shingle_set(F.col("la")).alias("x"), shingle_set(F.col("lb")).alias("y"))
+    m, n, k = F.col("m"), F.col("n"), F.col("k")
+    near = F.least(F.size("x"), F.size("y")) * 100 >= F.greatest(F.size("x"), F.size("y")) * percent
+    shared = F.when(near, F.size(F.array_intersect("x", "y"))).otherwise(0)
+    sizes = sets.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), shared.alias("k"))
+    link = F.when(k * 100 >= (m + n - k) * percent, F.array(F.struct("a", "b")))
+    return sizes.select(F.explode(link).alias("link")).select("link.a", "link.b")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (64-bit hash of the text), line_no (from 0), the normal form of every line that has a word, and its 128-bit hash (h1, h2)."""
-    return (
-        docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-        .select("doc_id", "text_key", "line_no", normal(F.col("raw")).alias("line"))
-        .where("line <> ''")
-        .withColumns(text_keys("line"))
-    )
+    raw = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    # judged on the raw line, as a filter on the normal form would make that twice; few lines begin with a blank
+    blank = reduce(Column.__or__, [F.col("raw").startswith(c) for c in BLANKS])
+    raw = raw.where(F.when(blank, F.btrim("raw", F.lit(BLANKS))).otherwise(F.col("raw")) != "")
+    return raw.select("doc_id", "text_key", "line_no", normal(F.col("raw")).alias("line")).withColumns(text_keys("line"))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -136,8 +143,7 @@ def line_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             placed.append(materialize(placed[0].where("line is not null").select("node", "line").dropDuplicates(["node"]), "line-texts"))
             release(spark)
         a, b = (placed[1].select(F.col("node").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
-        near = let(shingle_set(F.col("la")), lambda x: let(shingle_set(F.col("lb")), lambda y: alike(x, y, percent)))
-        links = materialize(pairs.join(b, "b").join(a, "a").where(near).select("a", "b"), "line-links")
+        links = materialize(links_of(pairs.join(b, "b").join(a, "a"), percent), "line-links")
         release(spark)
         return links
 
