@@ -52,7 +52,22 @@ def links_of(pairs: DataFrame, percent: int) -> DataFrame:
     Sets are made, intersected and judged in projections of their own, once and by generated code: in a lambda they would be
     interpreted, and a filter would be pushed below them and make them again. Nothing is pushed below an explode.
     """
-    sets = pairs.select("a", "b", shingle_set(F.col("la")).alias("x"), shingle_set(F.col("lb")).alias("y"))
+    return alike(pairs.select("a", "b", shingle_set(F.col("la")).alias("x"), shingle_set(F.col("lb")).alias("y")), percent)
+
+
+def links_among(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The links of pairs (a, b) of few nodes that come in many pairs each; texts: rows (node, line).
+
+    The set of a node is made once for all pairs that have it as b. For a its text goes to the pairs, as sets are eight times longer.
+    """
+    sets = texts.join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_semi")
+    sets = sets.select(F.col("node").alias("b"), shingle_set(F.col("line")).alias("y"))
+    rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(sets, "b")
+    return alike(rows.select("a", "b", shingle_set(F.col("la")).alias("x"), "y"), percent)
+
+
+def alike(sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of rows (a, b, x, y) whose shingle sets x and y are as similar as that; see ``links_of``."""
     m, n, k = F.col("m"), F.col("n"), F.col("k")
     near = F.least(F.size("x"), F.size("y")) * 100 >= F.greatest(F.size("x"), F.size("y")) * percent
     shared = F.when(near, F.size(F.array_intersect("x", "y"))).otherwise(0)
@@ -163,7 +178,8 @@ def line_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         both = x.join(y.withColumnsRenamed({"key": "ykey", "part": "ypart"}), (F.col("key") == F.col("ykey")) & (F.col("part") == F.col("ypart")) & apart & may_link("x", "y", percent))
         likely = materialize(both.select(F.greatest("xnode", "ynode").alias("a"), F.least("xnode", "ynode").alias("b")).distinct(), "line-likely")
         discard(rows)
-        links = verify(likely)
+        links = materialize(links_among(likely, placed[1], percent), "line-links")
+        release(spark)
         discard(likely)
         return links
 
